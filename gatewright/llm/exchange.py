@@ -19,7 +19,7 @@ from .textcore import U64, mix, pack, unpack, width_of
 _HEAD = struct.Struct("<IBBQI")
 
 
-def bucket_count(spark, factor: int = 4) -> int:
+def bucket_count(spark, factor: int) -> int:
     """Buckets follow the session's shuffle partitions, so they grow with the cluster's setting."""
     return max(8, factor * int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -55,7 +55,7 @@ def _place_blobs(ids: np.ndarray, starts: np.ndarray, n: int):
         yield 1, int(b[lo]), squeeze(ids[lo:hi], starts[lo:hi])
 
 
-def _mapper(window: int, n: int):
+def _mapper(window: int, n: int, n_docs: int):
     def run(batches):
         for ids, data, offs in chunks(batches, CHUNK_BYTES):
             words, rows = hash_words(data, offs, lower=False)
@@ -71,7 +71,7 @@ def _mapper(window: int, n: int):
             if not first.all():
                 lead = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
                 later = (doc > doc[lead]) | (doc == doc[lead]) & (start > start[lead])
-                yield from _rows(_place_blobs(doc[later], start[later], n), _TYPES)
+                yield from _rows(_place_blobs(doc[later], start[later], n_docs), _TYPES)
             # a tie with the first place shares its fate, which is told by (doc_id, start)
             yield from _rows(((0, b, blob) for b, blob in bucket_blobs(h[first], at[first], n, squeeze(ids, rows[:-1]))), _TYPES)
 
@@ -137,9 +137,9 @@ def _second_hop(window: int):
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_key, starts array<int>, ends array<int>): maximal word intervals to remove, one row per affected document."""
-    n = bucket_count(docs.sparkSession)
-    blobs = docs.select("doc_id", "text").mapInArrow(_mapper(window, n), _BLOB)
-    places = blobs.groupBy("hop", "b").applyInArrow(_first_hop(n), _BLOB)
+    n, n_docs = bucket_count(docs.sparkSession, 2), bucket_count(docs.sparkSession, 1)
+    blobs = docs.select("doc_id", "text").mapInArrow(_mapper(window, n, n_docs), _BLOB)
+    places = blobs.groupBy("hop", "b").applyInArrow(_first_hop(n_docs), _BLOB)
     return places.groupBy("b").applyInArrow(_second_hop(window), "doc_key bigint, starts array<int>, ends array<int>")
 
 
