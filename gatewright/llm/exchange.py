@@ -54,17 +54,36 @@ def expand(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def bucket_blobs(hashes: np.ndarray, values: np.ndarray, n: int, directory: bytes):
-    """(bucket, blob) of hashes sorted ascending, each with a small unsigned value."""
+def bucket_blobs(hashes: np.ndarray, values: np.ndarray, n: int, directory):
+    """(bucket, blob) of hashes sorted ascending, each with a small unsigned value.
+
+    directory(values) gives the values to store and the bytes that explain them; it
+    lists only the documents of the blob, so its size follows the blob's.
+    """
     if not len(hashes):
         return
     b = bucket_of(hashes, n)
     edges = np.flatnonzero(np.diff(b, prepend=-1))
     for lo, hi in zip(edges, [*edges[1:], len(b)]):
         h = hashes[lo:hi]
-        deltas, v = np.diff(h), values[lo:hi]
+        v, told = directory(values[lo:hi])
+        deltas = np.diff(h)
         wd, wv = width_of(deltas.max() if len(deltas) else 0), width_of(v.max())
-        yield int(b[lo]), b"".join((_HEAD.pack(hi - lo, wd, wv, int(h[0]), len(directory)), directory, pack(deltas, wd), pack(v, wv)))
+        yield int(b[lo]), b"".join((_HEAD.pack(hi - lo, wd, wv, int(h[0]), len(told)), told, pack(deltas, wd), pack(v, wv)))
+
+
+def listing(*columns: np.ndarray):
+    """A directory for values that are row numbers: the columns of the rows that occur (all rows if most do)."""
+    whole = squeeze(*columns)
+    size = len(columns[0])
+
+    def told(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
+        if len(rows) > 2 * size:
+            return rows, whole
+        used, at = np.unique(rows, return_inverse=True)
+        return at.astype(np.int64), squeeze(*(c[used] for c in columns))
+
+    return told
 
 
 def open_blob(raw: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:

@@ -55,6 +55,21 @@ def _place_blobs(ids: np.ndarray, starts: np.ndarray, n: int):
         yield 1, int(b[lo]), squeeze(ids[lo:hi], starts[lo:hi])
 
 
+def _directory(ids: np.ndarray, rows: np.ndarray):
+    """Values are word positions; a blob tells the ids and first positions of its documents, close together."""
+    whole = squeeze(ids, rows[:-1])
+
+    def told(at: np.ndarray) -> tuple[np.ndarray, bytes]:
+        if len(at) > 2 * len(ids):
+            return at, whole
+        row = np.searchsorted(rows, at, "right") - 1
+        used, k = np.unique(row, return_inverse=True)
+        room = np.append(0, np.cumsum(rows[used + 1] - rows[used]))
+        return at - rows[row] + room[k], squeeze(ids[used], room[:-1])
+
+    return told
+
+
 def _mapper(window: int, n: int, n_docs: int):
     def run(batches):
         for ids, data, offs in chunks(batches, CHUNK_BYTES):
@@ -73,7 +88,7 @@ def _mapper(window: int, n: int, n_docs: int):
                 later = (doc > doc[lead]) | (doc == doc[lead]) & (start > start[lead])
                 yield from _rows(_place_blobs(doc[later], start[later], n_docs), _TYPES)
             # a tie with the first place shares its fate, which is told by (doc_id, start)
-            yield from _rows(((0, b, blob) for b, blob in bucket_blobs(h[first], at[first], n, squeeze(ids, rows[:-1]))), _TYPES)
+            yield from _rows(((0, b, blob) for b, blob in bucket_blobs(h[first], at[first], n, _directory(ids, rows))), _TYPES)
 
     return run
 
