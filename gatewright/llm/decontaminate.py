@@ -15,7 +15,7 @@ rows with equal doc_id and text are one row in the result; items without words n
 occur; an empty benchmark hits nothing.
 
 Scale: documents are read once and never shuffled; only hit windows are.  The bitmap has
-2**BITMAP_BITS bits whatever the benchmark's size.  The benchmark's windows are broadcast
+2**prune.BITS bits whatever the benchmark's size.  The benchmark's windows are broadcast
 if at most BROADCAST_WINDOWS (checked by a count), else the join salts hot windows.
 """
 
@@ -24,8 +24,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prune import bitmap, inside, without
+from .storage import written
+
 WINDOW, K = 10, 7
-BITMAP_BITS = 20
 BROADCAST_WINDOWS = 100_000
 SALTS = 32
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,23 +53,6 @@ def _fingerprints(h: str, w: int) -> Column:
     return F.expr(f"CASE WHEN size({h}) >= {w} THEN array_distinct({best}) ELSE array() END")
 
 
-def _slot(h: str) -> str:
-    return f"cast(shiftrightunsigned({h}, {64 - BITMAP_BITS}) as int)"
-
-
-def _bitmap(hashes: DataFrame) -> str:
-    """SQL of a constant array of 2**BITMAP_BITS / 64 longs with a bit for each hash; folded into one literal."""
-    slots = hashes.selectExpr(f"{_slot('h')} s").distinct().selectExpr("shiftright(s, 6) w", "shiftleft(1L, s & 63) b").groupBy("w").agg(F.bit_or("b").alias("b"))
-    longs = [0] * ((1 << BITMAP_BITS) // 64)
-    for w, b in slots.collect():  # at most as many rows as the bitmap has longs
-        longs[w] = b
-    return f"cast(split('{','.join(map(str, longs))}', ',') as array<bigint>)"
-
-
-def _in(bits: str, h: str) -> str:
-    return f"(shiftright({bits}[shiftright({_slot(h)}, 6)], {_slot(h)} & 63) & 1L) = 1L"
-
-
 def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, n, win): every window of every item; n is `window` or, for short items, the item's length."""
     items = bench.select("item_id", words(F.col("text")).alias("ws")).where("size(ws) > 0").withColumn("n", F.least(F.size("ws"), F.lit(window)))
@@ -85,17 +70,17 @@ def hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, k: int = K) ->
     marks = long_items.select(F.explode(F.expr("transform(f, i -> h[i])")).alias("h"))
     for n in short:
         marks = marks.union(wins.where(F.col("n") == n).select(F.split("win", " ").alias("ws")).select(_runs("ws", n, n)[0].alias("h")))
-    bits = _bitmap(marks.distinct())
+    bits = bitmap(marks.distinct())
 
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     d = d.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("ws"))
     d = d.withColumn("h", _runs("ws", k, 0)).withColumn("f", _fingerprints("h", w))
-    d = d.withColumn("f", F.expr(f"filter(f, i -> {_in(bits, 'h[i]')})"))
+    d = d.withColumn("f", F.expr(f"filter(f, i -> {inside(bits, 'h[i]')})"))
     # a fingerprint at i lies in the windows that start at i - (window - k) to i
     spots = [f"transform(filter(array_distinct(flatten(transform(f, i -> sequence(greatest(i - {window - k}, 0), i)))), p -> p + {window} <= size(ws)), p -> struct(p, {window} n))"]
     for n in short:
         d = d.withColumn(f"h{n}", _runs("ws", n, n))
-        spots.append(f"transform(filter(sequence(0, greatest(size(h{n}) - 1, 0)), p -> p < size(h{n}) AND {_in(bits, f'h{n}[p]')}), p -> struct(p, {n} n))")
+        spots.append(f"transform(filter(sequence(0, greatest(size(h{n}) - 1, 0)), p -> p < size(h{n}) AND {inside(bits, f'h{n}[p]')}), p -> struct(p, {n} n))")
     d = d.withColumn("spots", F.expr(f"transform(concat({', '.join(spots)}), x -> struct(x.p lo, x.n n, array_join(slice(ws, x.p + 1, x.n), ' ') win))"))
     d = d.select("doc_id", "text_hash", F.size("ws").cast("bigint").alias("n_words"), "spots")
     rows = d.select("doc_id", "text_hash", "n_words", F.explode_outer("spots").alias("s")).select("doc_id", "text_hash", "n_words", "s.lo", "s.n", "s.win")
@@ -128,5 +113,5 @@ def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Rows of `docs` (all columns) whose text holds no benchmark window."""
-    bad = contamination(docs, bench).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("bigint").eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = written(contamination(docs, bench).where("contaminated").select("doc_id").distinct())
+    return without(docs, bad)

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .exchange import bucket_blobs, bucket_count, doc_bucket, expand, listing, open_blob, squeeze
+from .prune import without
 from .storage import written
 from .textcore import NULL_ID, U64, chunks, hash_words, mix, window_hashes
 
@@ -290,6 +291,12 @@ def shingle_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     return out.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc")).alias("component_id"))
 
 
+def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Rows of `docs` (all columns) that are the smallest document of their component; repeated rows of it stay once each."""
+    seen = shingle_components(docs, k, percent).where("NOT (doc_id <=> component_id)").select("doc_id")
+    return without(docs, written(seen.distinct()))
+
+
 def _with_prints(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
