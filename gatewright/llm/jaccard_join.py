@@ -9,10 +9,13 @@ A document's set is its distinct SHINGLE-word shingles.  Two documents link when
    and so are documents whose remaining shingles cannot reach the threshold.
 2. Candidates: linked sets share a shingle among the first n - ceil(t n) + 1 of the
    order.  In each group of documents that share such a shingle only a star around
-   one hub is tried; groups whose documents are already connected are done.  After ROUNDS
-   stars with other hubs, what is still in several components is tried pair by pair,
-   so no link that could join two components is lost and the pairs of a group
-   that is connected are never listed.
+   one hub (first the document with fewest shingles of its own) is tried; groups
+   whose documents are already connected are done.  After ROUNDS stars, what is still
+   in several components is tried pair by pair, so no link that could join two
+   components is lost and the pairs of a group that is connected are never listed.
+   Pairs are tried only if their shared shingles can reach the threshold: by
+   their number, and in the last step by the parity bitmaps of both sets, whose
+   differing bits bound the symmetric difference from below.
 3. Vertical partitioning: the order is cut into FRAGMENTS ranges; the overlap of a
    candidate pair is counted in each fragment separately and summed per pair.
 
@@ -44,7 +47,9 @@ from .textcore import NULL_ID, U64, chunks, hash_words, mix, window_hashes
 SHINGLE, PERCENT = 5, 75
 CAP = 32
 FRAGMENTS = 4
-ROUNDS = 3
+ROUNDS = 2
+#: 64-bit words of the parity bitmap.
+PARITY = 16
 CHUNK_BYTES = 8 << 20
 _SUMMARY = NULL_ID + 1
 _HIGH = 48
@@ -185,17 +190,21 @@ def _doc_hop(percent: int):
         ok = 100 * m >= percent * n
         keep = np.repeat(ok, m)
         lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(m[ok])).astype(np.int32)), pa.array(key[keep]))
-        return pa.table({"doc": pa.array(doc[edges][ok]), "n": pa.array(n[ok].astype(np.int64)), "keys": lists})
+        place = (mix(key[keep].astype(U64)) >> U64(64 - 6)).astype(U64), mix(key[keep].astype(U64) + U64(1)) % U64(PARITY)
+        parity = np.zeros((int(ok.sum()), PARITY), U64)
+        np.bitwise_xor.at(parity, (np.repeat(np.arange(int(ok.sum())), m[ok]), place[1].astype(np.int64)), U64(1) << place[0])
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(len(parity) + 1, dtype=np.int32) * PARITY), pa.array(parity.reshape(-1).view(np.int64)))
+        return pa.table({"doc": pa.array(doc[edges][ok]), "n": pa.array(n[ok].astype(np.int64)), "keys": lists, "parity": bits})
 
     return run
 
 
 def shared_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc, n, keys): documents that can have a link, with their shared shingles in the global order."""
+    """(doc, n, keys, parity): documents that can have a link, with their shared shingles in the global order."""
     n, n_docs = bucket_count(docs.sparkSession, 2), bucket_count(docs.sparkSession, 1)
     blobs = docs.select("doc_id", "text").mapInArrow(_token_mapper(k, n, n_docs), _BLOB)
     told = blobs.groupBy("hop", "b").applyInArrow(_count_hop(n_docs), _BLOB)
-    return told.groupBy("b").applyInArrow(_doc_hop(percent), "doc bigint, n bigint, keys array<bigint>")
+    return told.groupBy("b").applyInArrow(_doc_hop(percent), "doc bigint, n bigint, keys array<bigint>, parity array<bigint>")
 
 
 def _segments(sets: DataFrame, fragments: int) -> DataFrame:
@@ -220,17 +229,25 @@ def _links(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return overlaps(pairs, segments).where(f"100 * overlap >= {percent} * (na + nb - overlap)").select("a", "b")
 
 
-def _lengths(percent: int):
-    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+def _reach(percent: int, overlap: str = "least(ma, mb)"):
+    """Whether at most `overlap` common shingles can make a link."""
+    return F.expr(f"{100 + percent} * {overlap} >= {percent} * (na + nb)")
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """(x, y) structs as a and b, the smaller document first."""
+    low, high = F.when(F.col("x.doc") < F.col("y.doc"), F.col("x")).otherwise(F.col("y")), F.when(F.col("x.doc") < F.col("y.doc"), F.col("y")).otherwise(F.col("x"))
+    both = rows.select(low.alias("p"), high.alias("q"))
+    return both.select(F.col("p.doc").alias("a"), F.col("q.doc").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb"), F.col("p.m").alias("ma"), F.col("q.m").alias("mb"))
 
 
 def link_components(sets: DataFrame, percent: int = PERCENT, fragments: int = FRAGMENTS, rounds: int = ROUNDS) -> DataFrame:
-    """(node, component) of all nodes with a link; `sets` is a written table (doc, n, keys) of distinct sets."""
+    """(node, component) of all nodes with a link; `sets` is a written table (doc, n, keys, parity) of distinct sets."""
     segments = _segments(sets, fragments)
     # in the order a document's own shingles come first: s = n - size(keys) of them
     ceil = f"cast(ceil(n * {percent} / 100.0) as bigint)"
     first = f"slice(keys, 1, cast(greatest(n - {ceil} + 1 - (n - size(keys)), 0) as int))"
-    prefix = written(sets.select("doc", "n", F.explode(F.expr(first)).alias("key")))
+    prefix = written(sets.select("doc", "n", F.size("keys").cast("bigint").alias("m"), F.explode(F.expr(first)).alias("key")))
     shared = prefix.groupBy("key").count().where("count > 1").select("key")
     prefix = written(prefix.join(shared, "key"))
     links, tried, found = None, None, None
@@ -239,30 +256,29 @@ def link_components(sets: DataFrame, percent: int = PERCENT, fragments: int = FR
             part = prefix.withColumn("c", F.col("doc"))
         else:
             part = prefix.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
-            split = part.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-            part = part.join(split, "key")
+        # keys whose documents are in several components; of those, documents that can reach the smallest set of the key
+        split = part.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least_n")).where("lo < hi").select("key", "least_n")
+        part = part.join(split, "key").where(f"{100 + percent} * m >= {percent} * (n + least_n)").drop("least_n")
         if turn < rounds:
-            # the smallest document is the first hub, then others by a hash that changes with the turn
-            by = F.col("doc") if turn == 0 else F.xxhash64("doc", F.lit(turn))
-            hub = part.groupBy("key").agg(F.min_by(F.struct("doc", "n", "c"), F.struct(by, "doc")).alias("h"))
-            pairs = part.join(hub, "key").where("h.c <> c")
-            pairs = pairs.select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b"), F.when(F.col("doc") < F.col("h.doc"), F.col("n")).otherwise(F.col("h.n")).alias("na"), F.when(F.col("doc") < F.col("h.doc"), F.col("h.n")).otherwise(F.col("n")).alias("nb"))
+            by = F.col("n") - F.col("m") if turn == 0 else F.xxhash64("doc", F.lit(turn))
+            hub = part.groupBy("key").agg(F.min_by(F.struct("doc", "n", "m", "c"), F.struct(by, "doc")).alias("y"))
+            pairs = _paired(part.join(hub, "key").where("y.c <> c").select(F.struct("doc", "n", "m", "c").alias("x"), "y"))
         else:
-            left = part.select("key", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-            right = part.select("key", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-            pairs = left.join(right, "key").where("a < b AND ca <> cb").select("a", "b", "na", "nb")
-        pairs = pairs.where(_lengths(percent)).distinct()
+            part = written(part.join(sets.select("doc", "parity"), "doc"))
+            left = part.select("key", *[F.col(c).alias(c + "a") for c in ("doc", "n", "m", "c", "parity")])
+            right = part.select("key", *[F.col(c).alias(c + "b") for c in ("doc", "n", "m", "c", "parity")])
+            differ = " + ".join(f"bit_count(paritya[{i}] ^ parityb[{i}])" for i in range(PARITY))
+            near = (F.col("doca") < F.col("docb")) & (F.col("ca") != F.col("cb")) & _reach(percent) & _reach(percent, f"((ma + mb - ({differ})) DIV 2)")
+            pairs = left.join(right, "key").where(near).selectExpr("doca a", "docb b", "na", "nb", "ma", "mb")
+        pairs = pairs.where(_reach(percent)).select("a", "b", "na", "nb").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs)
         fresh = written(_links(pairs, segments, percent))
-        some = bool(fresh.limit(1).count())
         links = fresh if links is None else links.union(fresh)
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        if some:
+        if found is None or fresh.limit(1).count():
             found = written(components(links))
-        elif found is None and turn < rounds:
-            found = fresh.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return found
 
 
