@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +26,18 @@ class Facts:
     symbols: DataFrame
 
 
+    def release(self) -> None:
+        for kept in (self.symbols, self.bound, self.nodes):
+            kept.unpersist()
+
+
 def derive(nodes: DataFrame) -> Facts:
-    bound = resolution.bind(facts.events(nodes))
-    return Facts(nodes, facts.scopes(nodes), facts.module_refs(nodes), bound, resolution.symbols(bound))
+    """Facts for all rules.  Parsing, binding and the symbol table feed many rules each, so they are kept
+    (memory, then disk; lost blocks are recomputed by lineage) instead of being computed once per rule."""
+    nodes = nodes.persist(StorageLevel.MEMORY_AND_DISK)
+    bound = resolution.bind(facts.events(nodes)).persist(StorageLevel.MEMORY_AND_DISK)
+    symbols = resolution.symbols(bound).persist(StorageLevel.MEMORY_AND_DISK)
+    return Facts(nodes, facts.scopes(nodes), facts.module_refs(nodes), bound, symbols)
 
 
 def _keyed(rows: DataFrame, phase: int, *keys) -> DataFrame:
