@@ -5,29 +5,28 @@ Order of RULES is registration order, the tie-break for several rules at one nod
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.verilog_parser import ASSIGNMENT_KINDS
 
-_k = F.col("kind")
-#: code, message, predicate on a node row; the two rules without predicate are built below.
-RULES: list[tuple[str, str, Column | None]] = [
-    ("NO_BLOCKING_SEQUENTIAL", "Blocking assignment used in sequential logic", (_k == "Equals") & F.col("in_always")),
-    ("NO_NONBLOCKING_COMBINATIONAL", "Non-blocking assignment used in combinational logic", (_k == "LessThanEquals") & F.col("in_comb")),
-    ("DEFAULT_CASE", "Case statement missing default case", (_k == "EndCaseKeyword") & F.col("in_case_gen") & ~F.col("in_default")),
-    ("NO_CASEX_CASEZ", "Use of casex/casez can hide X/Z mismatches", _k.isin("CaseXKeyword", "CaseZKeyword")),
+#: code, message, SQL predicate on a node row; the two rules without predicate are built below.
+RULES: list[tuple[str, str, str | None]] = [
+    ("NO_BLOCKING_SEQUENTIAL", "Blocking assignment used in sequential logic", "kind = 'Equals' AND in_always"),
+    ("NO_NONBLOCKING_COMBINATIONAL", "Non-blocking assignment used in combinational logic", "kind = 'LessThanEquals' AND in_comb"),
+    ("DEFAULT_CASE", "Case statement missing default case", "kind = 'EndCaseKeyword' AND in_case_gen AND NOT in_default"),
+    ("NO_CASEX_CASEZ", "Use of casex/casez can hide X/Z mismatches", "kind IN ('CaseXKeyword', 'CaseZKeyword')"),
     ("NO_MIXED_ASSIGNMENT_STYLE", "Mixed blocking and non-blocking assignments used in the same procedural block", None),
-    ("NO_INITIAL_BLOCK", "Use of initial blocks can be unsafe in synthesizable RTL", _k == "InitialBlock"),
-    ("NO_FINAL_BLOCK", "Use of final blocks is usually not appropriate in synthesizable RTL", _k == "FinalBlock"),
-    ("NO_ALWAYS_LATCH", "Use of always_latch can hide unintended latch-oriented design choices", _k == "AlwaysLatchBlock"),
-    ("NO_CASE_GENERATE", "Use of case generate can make structural intent harder to follow", _k == "CaseGenerate"),
-    ("NO_FULL_PARALLEL_CASE", "Use of full_case / parallel_case pragmas can hide real case coverage issues", _k.isin("CaseKeyword", "CaseXKeyword", "CaseZKeyword") & F.col("pragma")),
-    ("NO_UNIQUE_PRIORITY_CASE", "Use of unique/priority case can overstate case completeness or exclusivity", _k.isin("UniqueKeyword", "PriorityKeyword")),
-    ("NO_INOUT_INTERNAL", "Internal inout declarations are not allowed", (_k == "PortDeclaration") & (F.col("direction") == "InOutKeyword")),
+    ("NO_INITIAL_BLOCK", "Use of initial blocks can be unsafe in synthesizable RTL", "kind = 'InitialBlock'"),
+    ("NO_FINAL_BLOCK", "Use of final blocks is usually not appropriate in synthesizable RTL", "kind = 'FinalBlock'"),
+    ("NO_ALWAYS_LATCH", "Use of always_latch can hide unintended latch-oriented design choices", "kind = 'AlwaysLatchBlock'"),
+    ("NO_CASE_GENERATE", "Use of case generate can make structural intent harder to follow", "kind = 'CaseGenerate'"),
+    ("NO_FULL_PARALLEL_CASE", "Use of full_case / parallel_case pragmas can hide real case coverage issues", "kind IN ('CaseKeyword', 'CaseXKeyword', 'CaseZKeyword') AND pragma"),
+    ("NO_UNIQUE_PRIORITY_CASE", "Use of unique/priority case can overstate case completeness or exclusivity", "kind IN ('UniqueKeyword', 'PriorityKeyword')"),
+    ("NO_INOUT_INTERNAL", "Internal inout declarations are not allowed", "kind = 'PortDeclaration' AND direction = 'InOutKeyword'"),
     ("NO_LATCH_IN_ALWAYS_COMB", "always_comb block contains a conditional-only assignment that can infer latch-like storage", None),
-    ("NO_DEFPARAM", "Use of defparam is discouraged; prefer explicit parameter overrides at instantiation", _k == "DefParamKeyword"),
+    ("NO_DEFPARAM", "Use of defparam is discouraged; prefer explicit parameter overrides at instantiation", "kind = 'DefParamKeyword'"),
 ]
 ORDER = {code: i for i, (code, _, _) in enumerate(RULES)}
 MESSAGES = {code: message for code, message, _ in RULES}
@@ -35,7 +34,7 @@ MESSAGES = {code: message for code, message, _ in RULES}
 
 def plain(nodes: DataFrame) -> DataFrame:
     """The 12 rules that look at one row, in a single scan."""
-    made = F.array(*[F.when(p, F.struct(F.lit(i).alias("ord"), F.lit(c).alias("code"), F.lit(m).alias("message"))) for i, (c, m, p) in enumerate(RULES) if p is not None])
+    made = F.array(*[F.when(F.expr(p), F.struct(F.lit(i).alias("ord"), F.lit(c).alias("code"), F.lit(m).alias("message"))) for i, (c, m, p) in enumerate(RULES) if p is not None])
     hits = nodes.withColumn("hit", F.explode(F.filter(made, lambda x: x.isNotNull())))
     return hits.select("file_idx", "pre", "hit.ord", "hit.code", "line", "col", "hit.message", "file")
 
@@ -47,7 +46,7 @@ def _found(rows: DataFrame, code: str) -> DataFrame:
 def mixed_assignment_style(nodes: DataFrame) -> DataFrame:
     """Per process: the first assignment whose kind differs from the first one's."""
     block = W.partitionBy("file_idx", "proc_pre").orderBy("pre")
-    a = nodes.where(_k.isin(*sorted(ASSIGNMENT_KINDS)) & F.col("proc_pre").isNotNull()).select("file_idx", "pre", "proc_pre", "kind", "line", "col", "file")
+    a = nodes.where(F.col("kind").isin(*sorted(ASSIGNMENT_KINDS)) & F.col("proc_pre").isNotNull()).select("file_idx", "pre", "proc_pre", "kind", "line", "col", "file")
     other = a.withColumn("first", F.first("kind").over(block)).where("kind <> first")
     return _found(other.withColumn("rank", F.row_number().over(block)).where("rank = 1"), "NO_MIXED_ASSIGNMENT_STYLE")
 

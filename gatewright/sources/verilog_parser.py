@@ -655,8 +655,7 @@ class Parser:
         proto = Node("FunctionPrototype", [*head, self.expect("Semicolon")])
         closer = "EndFunctionKeyword" if function else "EndTaskKeyword"
         items = []
-        while self.kind not in CLOSERS | {_EOF}:
-            items.append(self.block_item())
+        self.block_items(items)
         end = self.expect(closer)
         label = Node("NamedBlockClause", [self.take(), self.name()]) if self.kind == "Colon" else None
         return Node("FunctionDeclaration" if function else "TaskDeclaration", [self.empty(), proto, Node("SyntaxList", items), end, label], "FunctionDeclaration")
@@ -669,6 +668,14 @@ class Parser:
         return Node("Opaque", [self.take()]) if self.i == before else port
 
     # -- statements
+    def block_items(self, items: list) -> None:
+        """Items up to a closer or a design element; an item that takes no token is not tried again."""
+        while self.kind not in CLOSERS and self.kind not in DECLARATIONS and self.kind != _EOF:
+            before = self.i
+            items.append(self.block_item())
+            if self.i == before:
+                items.append(Node("Opaque", [self.take()]))
+
     def block_item(self) -> Node:
         k = self.kind
         if k in DIRECTIONS:
@@ -693,8 +700,7 @@ class Parser:
             if self.kind == "Colon":
                 head.append(Node("NamedBlockClause", [self.take(), self.name()]))
             items = []
-            while self.kind not in CLOSERS | {_EOF}:
-                items.append(self.block_item())
+            self.block_items(items)
             if k == "BeginKeyword":
                 end = self.expect("EndKeyword")
             else:
