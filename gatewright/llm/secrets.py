@@ -3,7 +3,8 @@
 Two first-order character models, of random strings (values of base spans) and of
 ordinary identifiers (other long tokens), are trained from labelled samples taken
 from at most TRAIN_DOCS documents.  A token is a further secret if its log-likelihood
-ratio per character exceeds a threshold calibrated on the same samples.
+ratio per character exceeds a threshold calibrated on the same samples (a false alarm
+costs FALSE_COST times a miss).  Without a secret in the sample nothing is added.
 
 Defined results: null text is empty; repeated rows give repeated results; tokens are
 scored whole.
@@ -25,8 +26,8 @@ from .sampling import bounded_sample
 KINDS = ("assign", "access", "hex", "random")
 TRAIN_DOCS = 4000
 SHORTEST = 16
-#: Share of ordinary tokens of the sample that may pass the threshold.
-FALSE_RATE = 1e-4
+#: Cost of taking an ordinary token for a secret, against missing a secret (both as shares of the sample).
+FALSE_COST = 50
 BINS, LOW, HIGH = 400, -4.0, 4.0
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -121,17 +122,22 @@ def _gather(frame: DataFrame, size: int) -> np.ndarray:
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> dict:
     sample = bounded_sample(docs, most, "text").select("text")
     n = _gather(sample.mapInArrow(_pairs, "k int, n bigint"), 2 * SYMBOLS**2).reshape(2, SYMBOLS, SYMBOLS)
-    # random strings are smoothed towards uniform rows, ordinary ones towards their own unigram
+    # random strings are smoothed towards uniform rows, ordinary ones strongly towards their own unigram, so that
+    # a few hidden secrets among the ordinary tokens do not teach their transitions
     plain, secret = n[0], n[1]
     unigram = (plain.sum(0) + 0.5) / (plain.sum() + 0.5 * SYMBOLS)
-    p0 = (plain + 20 * unigram) / (plain.sum(1, keepdims=True) + 20)
+    p0 = (plain + 500 * unigram) / (plain.sum(1, keepdims=True) + 500)
     p1 = (secret + 50 / SYMBOLS) / (secret.sum(1, keepdims=True) + 50)
     table = np.log(p1) - np.log(p0)
     h = _gather(sample.mapInArrow(_histogram(table), "k int, n bigint"), 2 * BINS).reshape(2, BINS)
-    above = np.cumsum(h[0][::-1])[::-1]
-    ok = np.flatnonzero(above <= FALSE_RATE * max(1.0, h[0].sum()))
-    edge = LOW + (HIGH - LOW) * ((ok[0] + 1) / BINS if len(ok) else 1.0)
-    return {"table": table, "threshold": max(edge, 0.5)}
+    if not h[1].sum():
+        return {"table": table, "threshold": float("inf")}
+    passed = [np.append(np.cumsum(x[::-1])[::-1], 0) / max(1.0, x.sum()) for x in h]  # share at or above each edge
+    cost = FALSE_COST * passed[0] + (1 - passed[1])
+    # of the edges with the least cost the middle one: far from both kinds (a hidden secret among the ordinary tokens only costs its share)
+    best = np.flatnonzero(cost <= cost.min() + 1e-12)
+    edge = LOW + (HIGH - LOW) * float(best[len(best) // 2]) / BINS
+    return {"table": table, "threshold": max(edge, 0.25)}
 
 
 def all_spans(text: str, model: dict) -> tuple[list, list]:

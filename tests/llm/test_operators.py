@@ -363,5 +363,5 @@ def test_random_strings_are_added(spark):
     noise = lambda n: "".join(random.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=n))
     name = lambda: "_".join(random.choice(["get", "user", "config", "value", "handler", "request", "session"]) for _ in range(4))
     docs = make(spark, [(i, f"{name()} token = {noise(32)} {name()}") for i in range(200)] + [(500, f"see {noise(40)} here {name()}"), (501, None), (502, name())])
-    got = {r.doc_id: r for r in secrets.find(docs, secrets.train(docs)).collect()}
+    got = {r.doc_id: r for r in secrets.find(docs, secrets.train(docs.where("doc_id < 300"))).collect()}
     assert got[500].spans == "random:4:44" and got[501].spans == got[502].spans == "" and got[3].n_assign == 1
