@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.source_text import pragma_cases
 from ..operators import containment, module_rules, resolution, symbol_rules, syntax_rules
 from ..sources.files import nettype_none
 from . import bridges, facts
@@ -115,6 +116,11 @@ def nettype_none_files(spark, sf_dir):
     return bridges.text_files(spark, sf_dir).select(F.col("path").alias("file"), nettype_none(F.col("text")).alias("nettype_none"))
 
 
+def pragma_line_join(spark, sf_dir):
+    found = pragma_cases(bridges.text_nodes(spark, sf_dir), bridges.text_files(spark, sf_dir))
+    return found.select("file", "line", "col", "kind")
+
+
 def node_counts(spark, sf_dir):
     """Nodes of each token kind per file: the lexer's and parser's output."""
     n = bridges.text_nodes(spark, sf_dir).where("is_token AND kind IN ('Equals', 'LessThanEquals', 'Semicolon', 'BeginKeyword', 'EndKeyword')")
@@ -141,6 +147,6 @@ def diagnostics_summary(spark, sf_dir):
 def queries() -> dict:
     out = {f"syntax_{code.lower()}": _syntax(code) for code, _, _ in syntax_rules.RULES}
     out |= {f"symbol_{code.lower()}": _symbol(rule) for code, rule in symbol_rules.RULES}
-    for f in (syntax_all, symbol_resolution, symbol_table, module_duplicate, module_undefined, module_registry_counts, lookup_from_scope, lookup_qualified, lookup_global, access_mode, access_mode_inherited, driver_id, nearest_ancestor, nettype_none_files, node_counts, module_references, module_scopes, diagnostics_formatted, diagnostics_summary):
+    for f in (syntax_all, symbol_resolution, symbol_table, module_duplicate, module_undefined, module_registry_counts, lookup_from_scope, lookup_qualified, lookup_global, access_mode, access_mode_inherited, driver_id, nearest_ancestor, nettype_none_files, pragma_line_join, node_counts, module_references, module_scopes, diagnostics_formatted, diagnostics_summary):
         out[f.__name__] = f
     return out

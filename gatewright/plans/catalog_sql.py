@@ -143,6 +143,7 @@ def oracle_sql() -> dict[str, str]:
     out["driver_id"] = f"{ids} SELECT file, line, col, name, ({_PROC}) || ':' || file || ':' || ({_PROC_LINE}) || ':3' AS driver_id FROM ids WHERE write"
     out["nearest_ancestor"] = f"{ids} SELECT file, line, col, {_PROC} AS anc_kind, CAST({_PROC_LINE} AS INTEGER) AS anc_line FROM ids WHERE ({_PROC}) IS NOT NULL"
     out["nettype_none_files"] = "SELECT 'f' || c_custkey || '.sv' AS file, c_custkey % 6 = 0 AS nettype_none FROM customer"
+    out["pragma_line_join"] = "SELECT 'f' || c_custkey || '.sv' AS file, CAST(18 AS INTEGER) AS line, CAST(3 AS INTEGER) AS col, 'CaseKeyword' AS kind FROM customer WHERE c_custkey % 4 = 1"
     out["node_counts"] = f"""WITH {_F}, n AS (
       SELECT file, 'Equals' AS kind, 3 + (CASE WHEN i % 2 = 1 THEN 1 ELSE 0 END) + (CASE WHEN i % 4 = 0 THEN 1 ELSE 0 END) + (CASE WHEN i % 5 = 0 THEN 1 ELSE 0 END) + (CASE WHEN i % 3 = 1 THEN 1 ELSE 0 END) + (CASE WHEN i % 7 = 0 THEN 1 ELSE 0 END) + (CASE WHEN i % 6 = 1 THEN 1 ELSE 0 END) AS n FROM f
       UNION ALL SELECT file, 'LessThanEquals', (CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END) + (CASE WHEN i % 3 <> 1 THEN 1 ELSE 0 END) FROM f

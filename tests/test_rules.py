@@ -51,7 +51,7 @@ def test_latch_forms(lint):
 
 def test_nettype_none(lint, spark):
     with_, without = lint(["`default_nettype none\nmodule m;\n  assign x = 1;\nendmodule\n"], ["module m;\n  assign x = 1;\nendmodule\n"])
-    assert with_ == ["f0.v:3:10 UNDECLARED_VARIABLE x"] and without == ["f0.v:3:10 NO_IMPLICIT_NET x"]
+    assert with_ == ["f0.v:3:10 UNDECLARED_VARIABLE x"] and without == ["f0.v:2:10 NO_IMPLICIT_NET x"]
     texts = ["`default_nettype none", "  `default_nettype\tnone\n", "x `default_nettype none", "`default_nettype nonesuch", "\n\n `default_nettype none;", None]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(nettype_none(F.col("text"))).collect()]
     assert got == [default_nettype_none(t or "") for t in texts]

@@ -33,3 +33,15 @@ def test_jobs_is_partitions(spark, tmp_path):
     assert {r.code for r in lint(spark, [tmp_path / "a.v"], jobs=3).collect()} == {"NO_DEFPARAM", "NO_IMPLICIT_NET"}
     with pytest.raises(ValueError, match="jobs must be >= 1"):
         lint(spark, [], jobs=0)
+
+
+def test_watch_lints_arriving_files(spark, tmp_path):
+    from gatewright.streaming.watch import watch
+
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "a.v").write_text("module a;\n  initial x = 1;\nendmodule\n")
+    (src / "b.txt").write_text("module b; initial x = 1; endmodule")
+    got = []
+    watch(spark, str(src), str(tmp_path / "cp"), lambda d, n: got.extend(d.collect()), once=True).awaitTermination()
+    assert [(r.file.rsplit("/", 1)[-1], r.line, r.col, r.code) for r in got] == [("a.v", 2, 3, "NO_INITIAL_BLOCK")]
