@@ -32,7 +32,7 @@ def inside(bits: str, h: str) -> str:
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of `docs` (all columns) whose doc_id is not among `ids` (one column); null matches null."""
-    ids = ids.toDF("dropped_id").select(F.col("dropped_id").cast("bigint").alias("dropped_id")).distinct()
-    test = inside(bitmap(ids.selectExpr("xxhash64(dropped_id) h")), "xxhash64(cast(doc_id as bigint))")
-    near = docs.where(test).join(ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("dropped_id")), "left_anti")
+    ids = ids.toDF("__dropped_id").select(F.col("__dropped_id").cast("bigint").alias("__dropped_id")).distinct()
+    test = inside(bitmap(ids.selectExpr("xxhash64(__dropped_id) h")), "xxhash64(cast(doc_id as bigint))")
+    near = docs.where(test).join(ids, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__dropped_id")), "left_anti")
     return docs.where(f"NOT ({test})").union(near)

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from . import chat, decontaminate, jaccard_join, language_id, media, mixing, pii, secrets, substring_dedup, toxicity
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder; Arrow batches are kept small as texts can be long."""
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by rows and bytes, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
