@@ -10,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gatewright.llm import decontaminate, jaccard_join, language_id, mixing, pii
-from gatewright.llm.queries import table
+from gatewright.llm.queries import small_batches, table
 from gatewright.llm.storage import written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language go."""
-    _batches(spark)
+    small_batches(spark)
     return language_id.keep_known(docs, language_id.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
-    _batches(spark)
+    small_batches(spark)
     return jaccard_join.drop_near_duplicates(docs)
 
 
@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; personal data in their texts is replaced by its kind, and n_chars follows."""
-    _batches(spark)
+    small_batches(spark)
     out = pii.redact(docs, pii.train(docs))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -46,10 +46,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
-def _batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-
-
 STAGES = [
     ("language_id", identify_language),
     ("near_duplicates", drop_near_duplicates),
