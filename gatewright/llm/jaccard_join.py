@@ -42,7 +42,7 @@ from .components import components
 from .exchange import bucket_blobs, bucket_count, doc_bucket, expand, listing, open_blob, squeeze
 from .prune import without
 from .storage import written
-from .textcore import NULL_ID, U64, chunks, hash_words, mix, window_hashes
+from .textcore import NULL_ID, U64, chunks, hash_words, mix, trim, window_hashes
 
 SHINGLE, PERCENT = 5, 75
 CAP = 32
@@ -50,7 +50,7 @@ FRAGMENTS = 4
 ROUNDS = 2
 #: 64-bit words of the parity bitmap.
 PARITY = 16
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 _SUMMARY = NULL_ID + 1
 _HIGH = 48
 _BLOB = "hop int, b int, blob binary"
@@ -150,6 +150,7 @@ def _count_hop(n_docs: int):
     def run(table: pa.Table) -> pa.Table:
         if table["hop"][0].as_py() == 1:
             return table
+        trim()
         hs, docs, sizes = [], [], []
         for raw in table["blob"].to_pylist():
             h, at, directory = open_blob(raw)
@@ -176,6 +177,7 @@ def _doc_hop(percent: int):
     """Shared shingles of each document in the global order, if they can reach the threshold."""
 
     def run(table: pa.Table) -> pa.Table:
+        trim()
         parts = [expand(x) for x in table["blob"].to_pylist()]
         doc, size, token, rank = (np.concatenate([p[i] for p in parts]) for i in range(4))
         key = (rank << _HIGH) | token

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .sampling import bounded_sample
-from .textcore import U64, buffers, mix
+from .textcore import U64, buffers, mix, trim
 
 TRAIN_DOCS = 8000
 SLOT_BITS, HASHES = 18, 3
@@ -66,7 +66,7 @@ def _slots(codes: np.ndarray, j: int) -> np.ndarray:
     return (mix(codes.astype(U64) + U64((j + 1) << 40)) >> U64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _parts(texts, size: int = 2 << 20):
+def _parts(texts, size: int = 1 << 20):
     """Slices of a text column of about `size` bytes, as buffers."""
     data, offs = buffers(texts)
     row, n = 0, len(offs) - 1
@@ -161,6 +161,7 @@ def keep_known(docs: DataFrame, model: dict, least: float = REJECT) -> DataFrame
     def run(batches):
         for batch in batches:
             lang, score, n = classify(batch.column("text"), model)
+            trim()
             yield batch.filter(pa.array([a != UNKNOWN and (s >= least or k < SHORT) for a, s, k in zip(lang, score, n)], pa.bool_())).select(names)
 
     return docs.mapInArrow(run, docs.schema)

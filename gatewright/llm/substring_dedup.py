@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import bucket_blobs, bucket_count, doc_bucket, expand, open_blob, squeeze
-from .textcore import NULL_ID, chunks, hash_words, window_hashes
+from .textcore import NULL_ID, chunks, hash_words, trim, window_hashes
 
 WINDOW = 20
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 _BLOB = "hop int, b int, blob binary"
 
 
@@ -99,6 +99,7 @@ def _first_hop(n: int):
     def run(table: pa.Table) -> pa.Table:
         if table["hop"][0].as_py() == 1:
             return table
+        trim()
         hs, docs, starts = [], [], []
         for raw in table["blob"].to_pylist():
             h, at, directory = open_blob(raw)

@@ -6,6 +6,8 @@ the UTF-8 buffer with numpy, so no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +18,7 @@ BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
 NULL_ID = -(1 << 63)
 #: Bytes hashed in one go; a longer document is one slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 #: Bytes that end a word: space and 0x09-0x0D.
 SPACE = np.zeros(256, bool)
@@ -137,6 +139,15 @@ def window_hashes(words: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarr
     return mix((sums[at + k] - sums[at]) * down[at]), at
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers are reused for many tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pack(values: np.ndarray, width: int) -> bytes:
     """The low bytes of unsigned integers, little-endian."""
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
@@ -184,5 +195,7 @@ def chunks(batches, size: int, id_col: str = "doc_id", text_col: str = "text"):
             if n >= size * 0.9:
                 yield flush()
                 held, n = [], 0
+                trim()
     if held:
         yield flush()
+    trim()
