@@ -3,9 +3,11 @@
 Base spans (email, ip, card, phone) are the leftmost non-overlapping matches of each
 pattern that pass its check.  The tokens of a document then form a graph: neighbours
 in the text share a transition potential, and tokens that repeat (equal, or equal
-digits with other separators) are linked to their previous occurrence by a skip edge.
-Labels of base spans are observed; loopy sum-product decides the rest, so an
-unmatched repetition of known personal data gets its label too.
+digits with other separators) are linked to their previous occurrence by a skip edge
+and to every observed occurrence (summed per label), else to the first occurrence.
+Labels of base spans are observed; loopy sum-product, run until the messages settle,
+decides the rest, so every unmatched repetition of known personal data gets its label
+too, however many there are.
 
 Potentials are learned from base labels in at most TRAIN_DOCS documents.  Documents
 without base spans keep no label and skip inference: without an observed label no
@@ -33,7 +35,8 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 TRAIN_DOCS = 4000
 SHAPES = 2000
-SWEEPS = 12
+#: Message passing ends when no message moves by more than SETTLED; SWEEPS only ends graphs that swing forever.
+SWEEPS, SETTLED = 1000, 1e-4
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -130,6 +133,41 @@ def skip_edges(toks) -> list[tuple[int, int, str]]:
     return out
 
 
+def ties(toks, skip: dict) -> tuple[np.ndarray, list[tuple[int, int, str]]]:
+    """(pull of the observed occurrences on each token by label, edges between tokens without a label).
+
+    An observed end sends the same message forever, so the edges of a token to all observed tokens with its text, else
+    its digits, are one sum per label.  Tokens whose text and digits are never observed are tied to the first occurrence.
+    """
+    pull = np.zeros((len(toks), 5))
+    edges = {(i, j): how for i, j, how in skip_edges(toks) if not toks[i][3] and not toks[j][3]}
+    keys, seen = [], {}
+    for i, (_, _, core, label, _) in enumerate(toks):
+        digits = "".join(_DIGITS.findall(core))
+        long = len(digits) >= 6
+        own = [("same", core.lower())] * (long or "@" in core and len(core) >= 6) + [("alike", digits)] * long
+        keys.append(own)
+        if label:
+            for key in own:
+                seen.setdefault(key, np.zeros(5))[LABELS.index(label)] += 1
+    first: dict[tuple[str, str], int] = {}
+    for i, own in enumerate(keys):
+        if toks[i][3] or not own:
+            continue
+        # observed tokens with the same text also have the same digits, and count once
+        same = seen.get(own[0], np.zeros(5))
+        alike = seen.get(own[-1], same) - same if len(own) == 2 else np.zeros(5)
+        pull[i] = skip["same"] * same + skip["alike"] * alike
+        if not pull[i].any():
+            for key in own:
+                hub = first.setdefault(key, i)
+                if hub != i:
+                    edges.setdefault((hub, i), key[0])
+                    break
+    # where observed occurrences decide, texts that are only alike do not vote on each other
+    return pull, [(i, j, how) for (i, j), how in edges.items() if how == "same" or not pull[i].any()]
+
+
 def _observe(text: str) -> Counter:
     """Sufficient statistics of a document for the potentials."""
     spans = base_spans(text)
@@ -176,9 +214,10 @@ def train(docs: DataFrame, most: int = TRAIN_DOCS) -> dict:
 
 def infer(toks, model: dict) -> list[str | None]:
     """Labels of the tokens that have none, by loopy sum-product on the components with an observed label."""
-    edges = [(i, j, np.eye(5) * model["skip"][how]) for i, j, how in skip_edges(toks)]
-    if not any((toks[i][3] is None) != (toks[j][3] is None) for i, j, _ in edges):
+    pull, links = ties(toks, model["skip"])
+    if not pull.any():
         return [None] * len(toks)
+    edges = [(i, j, np.eye(5) * model["skip"][how]) for i, j, how in links]
     edges += [(i, i + 1, model["step"]) for i in range(len(toks) - 1) if toks[i + 1][4] == toks[i][4] + 1]
     unary = np.empty((len(toks), 5))
     for i, (_, _, core, label, _) in enumerate(toks):
@@ -190,6 +229,9 @@ def infer(toks, model: dict) -> list[str | None]:
             unary[i] = seen - seen.max()
             unary[i, 1:] = np.minimum(unary[i, 1:], -1.5)  # the patterns did not match here
             unary[i, 0] = 0.0
+            unary[i] += pull[i]
+    if not edges:
+        return [None if t[3] or not best else LABELS[best] for t, best in zip(toks, unary.argmax(1))]
     src = np.array([e[0] for e in edges] + [e[1] for e in edges])
     dst = np.array([e[1] for e in edges] + [e[0] for e in edges])
     pot = np.exp(np.array([e[2] for e in edges] + [e[2].T for e in edges]))
@@ -201,7 +243,10 @@ def infer(toks, model: dict) -> list[str | None]:
         out = belief[src] - msg[back]
         out = np.exp(out - out.max(1, keepdims=True))
         new = np.log(np.einsum("ea,eab->eb", out, pot) + 1e-300)
-        msg = 0.5 * msg + 0.5 * (new - new.max(1, keepdims=True))
+        step = 0.5 * (new - new.max(1, keepdims=True) - msg)
+        msg = msg + step
+        if np.abs(step).max() < SETTLED:
+            break
     belief = unary.copy()
     np.add.at(belief, dst, msg)
     best = belief.argmax(1)

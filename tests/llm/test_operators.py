@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from gatewright.llm import chat, decontaminate, jaccard_join, language_id, media, mixing, pii, secrets, substring_dedup, toxicity
@@ -199,6 +200,31 @@ def test_repeated_data_gets_its_label(spark):
     assert pii.find(docs.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("first", [True, False])
+@pytest.mark.parametrize("k", [1, 2, 5, 50, 400])
+def test_every_repeat_gets_the_label(k, first):
+    model = {"shapes": {}, "rare": np.full(5, -np.log(5)), "step": np.zeros((5, 5)), "skip": {"same": 2.0, "alike": 2.0}}
+    known, repeats = ["card 4111-1111-1111-1111 seen"], ["then 4111.1111.1111.1111 and 4111/1111/1111/1111 of id 7771111"] * k
+    text = " ; ".join(known + repeats if first else repeats + known)
+    base, spans = pii.all_spans(text, model)
+    assert len(base) == 1
+    assert sorted(text[lo:hi] for lo, hi, _ in spans) == ["4111-1111-1111-1111"] + ["4111.1111.1111.1111"] * k + ["4111/1111/1111/1111"] * k
+    assert {x[2] for x in spans} == {"card"}
+
+
+def test_unlikely_repeat_does_not_outvote():
+    shapes = {"999+": np.array([0.0, -9, -9, -9, -9])}
+    model = {"shapes": shapes, "rare": np.full(5, -np.log(5)), "step": np.zeros((5, 5)), "skip": {"same": 2.0, "alike": 2.0}}
+    text = "call +1 (743) 555-3824 now, " + "again 555-3824 x, " + "number 5553824 x, " * 9
+    assert [text[lo:hi] for lo, hi, _ in pii.all_spans(text, model)[1]] == ["+1 (743) 555-3824", "555-3824"]
+
+
+def test_ties_are_linear():
+    text = "ip 10.1.2.3 " + "or 10-1-2-3 x 555-382444 y " * 2000
+    toks = pii.tokens(text, pii.base_spans(text))
+    assert len(pii.ties(toks, {"same": 2.0, "alike": 2.0})[1]) <= 2 * len(toks)
+
+
 # 6 ---------------------------------------------------------------- Jaccard join
 
 
