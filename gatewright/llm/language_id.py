@@ -1,15 +1,15 @@
 """Language identification by bit-sliced Bloom filters of byte 4-grams.
 
-One table of 64-bit rows serves all languages: bit L of a row belongs to language L's
-Bloom filter, so the AND of the rows at a gram's HASHES positions is the mask of all
+One table of rows of 64-bit words, as many as the languages need, serves all languages:
+bit L of a row belongs to language L's Bloom filter, so the AND of the rows at a gram's HASHES positions is the mask of all
 languages that contain the gram.  Per document the masks' bits are counted for each
 language, corrected for the false-positive rate of that language's filter, and the
 largest count decides.
 
-Training: at most TRAIN_DOCS documents with a language (smallest id hashes).  A gram
-belongs to a language if its rate there is at least MIN_RATE and at least SHARE of its
+Training: of each language all documents, or about LANG_DOCS by id hash where there are
+more; so a rare language is learned at every size of the input.  A gram belongs to a language if its rate there is at least MIN_RATE and at least SHARE of its
 highest rate in any language, so passages in a foreign language do not blur the
-filters.  At most 64 languages (the most frequent) are learned.
+filters.  All languages are learned; a model takes 2 MB for each 64 of them.
 
 Defined results: null text or text without a letter gives `und` and score 0; a text
 with letters but no known gram gives the most frequent language and score 0; ties go to
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sampling import bounded_sample
+from .sampling import sample_per_value
 from .textcore import U64, buffers, mix, trim
 
-TRAIN_DOCS = 8000
+LANG_DOCS = 8000
 SLOT_BITS, HASHES = 18, 3
 MIN_RATE, SHARE = 2e-5, 0.25
 UNKNOWN = "und"
@@ -81,30 +81,31 @@ def _count(batches):
         langs = np.array(batch.column("lang").to_pylist(), object)
         for row, to, data, offs in _parts(batch.column("text")):
             codes, at = grams(data, offs)
-            who = np.repeat(langs[row:to], np.diff(at))
-            for lang in sorted(set(who)):
-                g, n = np.unique(codes[who == lang], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+            names, which = np.unique(langs[row:to], return_inverse=True)
+            key, n = np.unique(np.repeat(which.astype(U64) << U64(32), np.diff(at)) | codes, return_counts=True)
+            lang = pa.array(names, pa.string()).take(pa.array((key >> U64(32)).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([lang, pa.array((key & U64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, most: int = TRAIN_DOCS) -> dict:
+def train(docs: DataFrame, most: int = LANG_DOCS) -> dict:
     """Filters from `docs` (doc_id, text, lang), which the caller restricts to training rows."""
     known = docs.where("lang is not null and text is not null")
-    counts = bounded_sample(known, most, "text", "lang").select("text", "lang").mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    sample, seen = sample_per_value(known, "lang", most, "text")
+    counts = sample.select("text", "lang").mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    rows = np.zeros(1 << SLOT_BITS, U64)
+    rows = np.zeros((1 << SLOT_BITS, max(1, -(-len(langs) // 64))), U64)
     if langs:
-        rates = F.element_at(F.create_map(*[F.lit(x) for kv in totals.items() for x in kv]), F.col("lang"))
-        each = counts.where(F.col("lang").isin(langs)).withColumn("rate", F.col("n") / rates).where(F.col("rate") >= MIN_RATE)
-        # grams of at least MIN_RATE: at most 1 / MIN_RATE for each of at most 64 languages
-        kept = each.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("lang", "rate")).alias("x")).selectExpr("gram", f"transform(filter(x, y -> y.rate >= {SHARE} * top), y -> y.lang) langs").collect()
-        codes = np.array([r.gram for r in kept], U64)
-        masks = np.array([sum(1 << langs.index(x) for x in r.langs) for r in kept], U64)
+        of = docs.sparkSession.createDataFrame([(x, i // 64, i % 64, totals[x]) for i, x in enumerate(langs)], "lang string, word int, bit int, total bigint")
+        each = counts.join(F.broadcast(of), "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= MIN_RATE)
+        # grams of at least MIN_RATE: at most 1 / MIN_RATE for each language
+        found = each.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("word", "bit", "rate")).alias("x")).selectExpr("gram", f"inline(filter(x, y -> y.rate >= {SHARE} * top))")
+        kept = found.groupBy("gram", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")).toArrow()
+        codes, words, masks = (kept.column(c).to_numpy() for c in ("gram", "word", "mask"))
         for j in range(HASHES):
-            np.bitwise_or.at(rows, _slots(codes, j), masks)
-    fill = np.array([float(((rows >> U64(i)) & U64(1)).mean()) for i in range(len(langs))])
-    return {"langs": langs, "rows": rows, "false": fill**HASHES, "common": max(langs, key=lambda x: (totals[x], x)) if langs else UNKNOWN}
+            np.bitwise_or.at(rows, (_slots(codes.astype(U64), j), words), masks.astype(np.int64).view(U64))
+    fill = np.array([float(((rows[:, i // 64] >> U64(i % 64)) & U64(1)).mean()) for i in range(len(langs))])
+    return {"langs": langs, "rows": rows, "false": fill**HASHES, "common": max(langs, key=lambda x: (seen[x], x)) if langs else UNKNOWN}
 
 
 def classify(texts, model: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -115,13 +116,16 @@ def classify(texts, model: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
         codes, at = grams(data, offs)
         if not len(codes) or not langs:
             continue
-        mask = rows[_slots(codes, 0)]
-        for j in range(1, HASHES):
-            mask &= rows[_slots(codes, j)]
+        slots = [_slots(codes, j) for j in range(HASHES)]
         n = length[row:to] = np.diff(at)
         shares = np.zeros((len(langs), to - row))
         for i in range(len(langs)):
-            sums = np.append(0, np.cumsum((mask >> U64(i)) & U64(1), dtype=np.int64))
+            if i % 64 == 0:
+                word = np.ascontiguousarray(rows[:, i // 64])
+                mask = word[slots[0]]
+                for at_j in slots[1:]:
+                    mask &= word[at_j]
+            sums = np.append(0, np.cumsum((mask >> U64(i % 64)) & U64(1), dtype=np.int64))
             hits = sums[at[1:]] - sums[at[:-1]]
             p = model["false"][i]
             shares[i] = np.maximum(0.0, hits - n * p) / (1 - p if p < 1 else 1.0) / np.maximum(1, n)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def bounded_sample(docs: DataFrame, most: int, *columns: str) -> DataFrame:
@@ -14,3 +15,17 @@ def bounded_sample(docs: DataFrame, most: int, *columns: str) -> DataFrame:
     """
     ids = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return docs.select("doc_id", *columns).join(F.broadcast(ids), "doc_id", "left_semi")
+
+
+def sample_per_value(docs: DataFrame, value: str, most: int, *columns: str) -> tuple[DataFrame, dict]:
+    """(rows of `columns` and `value`, documents per value): all documents of a value, or about `most` by id hash where it has more.
+
+    Documents are counted per value first, with partial sums, so no value gathers in one task; the counts become
+    limits on the id hash.  The same ids give the same sample on every run.
+    """
+    docs = docs.where(f"doc_id is not null and `{value}` is not null")
+    seen = {r[0]: r[1] for r in docs.select(value, "doc_id").distinct().groupBy(value).count().collect()}
+    cuts = [(x, min(1 << 53, -(-(most << 53) // n))) for x, n in seen.items()]
+    limits = docs.sparkSession.createDataFrame(cuts, T.StructType([T.StructField(value, docs.schema[value].dataType), T.StructField("_cut", T.LongType())]))
+    few = docs.select("doc_id", value, *columns).join(F.broadcast(limits), value).where(F.shiftrightunsigned(F.xxhash64("doc_id"), 11) < F.col("_cut"))
+    return few.drop("_cut"), seen

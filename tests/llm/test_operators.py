@@ -117,6 +117,20 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
 
 
+def test_rare_and_many_languages_are_learned(spark):
+    random.seed(4)
+    syll = {f"l{i:02d}": ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(6)] for i in range(70)}
+    say = lambda k: " ".join("".join(random.choices(syll[k], k=2)) for _ in range(30))
+    common = [(i, say("l00"), "l00", "s") for i in range(1500)]
+    rare = [(2000 + 2 * i + j, say(k), k, "s") for i, k in enumerate(sorted(syll)[1:]) for j in range(2)]
+    docs = spark.createDataFrame(common + rare, DOC)
+    model = language_id.train(docs, 20)
+    assert model["langs"] == sorted(syll) and model["common"] == "l00" and model["rows"].shape[1] == 2
+    fresh = spark.createDataFrame([(9000 + i, say(k), k, "s") for i, k in enumerate(sorted(syll))], DOC)
+    assert all(r.lang_pred == r.lang for r in language_id.predict(fresh, model).collect())
+    assert language_id.keep_known(fresh, model).count() == 70
+
+
 # 4 ---------------------------------------------------------------- mixing
 
 
