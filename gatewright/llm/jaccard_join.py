@@ -284,8 +284,8 @@ def link_components(sets: DataFrame, percent: int = PERCENT, fragments: int = FR
     return found
 
 
-def shingle_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text)."""
+def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc, n, prints of every row; member of each class of equal sets; sets of the class representatives)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     infos = written(docs.mapInArrow(_info_mapper(k), "doc bigint, n bigint, fa bigint, fb bigint"))
     # one set per doc_id: the largest; it matters only where rows share doc_id
@@ -300,9 +300,32 @@ def shingle_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     classes = nodes.where("n > 0").groupBy("n", "fa", "fb").agg(F.min("doc").alias("rep"))
     member = written(nodes.where("n > 0").join(classes, ["n", "fa", "fb"]).select("doc", "rep"))
     sets = shared_sets(docs, k, percent).join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi")
-    found = link_components(written(sets), percent)
     # a document may be in `member` once per equal row
-    member = member.distinct()
+    return infos, member.distinct(), written(sets)
+
+
+def all_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The whole similarity join: (links, membership).
+
+    links (a, b, na, nb, overlap) are all linked pairs a < b of class representatives, within components too;
+    membership (doc_id, rep) names the representative of every document with a shingle, and documents of one
+    representative have equal sets.  Nothing is left out, so a key in many documents costs the square of their number.
+    """
+    _, member, sets = _classes(docs, k, percent)
+    ceil = f"cast(ceil(n * {percent} / 100.0) as bigint)"
+    first = f"slice(keys, 1, cast(greatest(n - {ceil} + 1 - (n - size(keys)), 0) as int))"
+    prefix = written(sets.select("doc", "n", F.size("keys").cast("bigint").alias("m"), F.explode(F.expr(first)).alias("key")))
+    left, right = (prefix.select("key", *[F.col(c).alias(c + x) for c in ("doc", "n", "m")]) for x in "ab")
+    pairs = left.join(right, "key").where("doca < docb").where(_reach(percent)).selectExpr("doca a", "docb b", "na", "nb").distinct()
+    links = overlaps(written(pairs), _segments(sets, FRAGMENTS)).where(f"100 * overlap >= {percent} * (na + nb - overlap)")
+    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
+    return links.select(real("a"), real("b"), "na", "nb", "overlap"), member.select(real("doc").alias("doc_id"), real("rep"))
+
+
+def shingle_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text)."""
+    infos, member, sets = _classes(docs, k, percent)
+    found = link_components(sets, percent)
     component = member.join(found, member.rep == found.node, "left").select("doc", F.coalesce("component", "rep").alias("component"))
     out = infos.select("doc", "n").join(component, "doc", "left")
     real = lambda c: F.when(c != NULL_ID, c)

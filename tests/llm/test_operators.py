@@ -281,6 +281,33 @@ def test_components_brute_force(spark):
     assert jaccard_join.shingle_components(make(spark, [])).count() == 0
 
 
+def test_all_links_brute_force(spark):
+    random.seed(13)
+    base = [[f"v{random.randrange(400)}" for _ in range(40)] for _ in range(5)]
+    docs = []
+    for i in range(60):
+        w = list(base[i % 5])
+        for _ in range(i // 5 % 4):
+            w[random.randrange(len(w))] = f"u{random.randrange(9)}"
+        docs.append((i, " ".join(w)))
+    docs += [(100, None), (101, ""), (102, "a b"), (103, "A  b"), (None, docs[7][1] + " tail"), (105, docs[7][1])]
+    s = {}
+    for i, t in docs:
+        w = (t or "").lower().split()
+        s[-1 if i is None else i] = frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    want = {(a, b) for a in s for b in s if a < b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])}
+    links, membership = jaccard_join.all_links(make(spark, docs))
+    fix = lambda x: -1 if x is None else x
+    reps = defaultdict(list)
+    for m in membership.collect():
+        reps[fix(m.rep)].append(fix(m.doc_id))
+    got = {(a, b) for ds in reps.values() for a in ds for b in ds if a < b}
+    for x in links.collect():
+        assert x.overlap == len(s[fix(x.a)] & s[fix(x.b)])
+        got |= {tuple(sorted((p, q))) for p in reps[fix(x.a)] for q in reps[fix(x.b)]}
+    assert got == want and len(want) > 50
+
+
 # 7 ---------------------------------------------------------------- toxicity
 
 
