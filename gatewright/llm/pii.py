@@ -6,8 +6,8 @@ in the text share a transition potential, and tokens that repeat (equal, or equa
 digits with other separators) are linked to their previous occurrence by a skip edge
 and to every observed occurrence (summed per label), else to the first occurrence.
 Labels of base spans are observed; loopy sum-product, run until the messages settle,
-decides the rest, so every unmatched repetition of known personal data gets its label
-too, however many there are.
+decides the rest, so an unmatched repetition of known personal data gets its label too,
+however many there are, unless its shape or its neighbours speak more strongly against it.
 
 Potentials are learned from base labels in at most TRAIN_DOCS documents.  Documents
 without base spans keep no label and skip inference: without an observed label no
