@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Role names of foreign layouts; rows that are turns already keep theirs.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 #: Declarative mappings: required and optional paths, and how turns are read from them.
 MAPPINGS = [
@@ -63,7 +64,8 @@ def to_turns(record) -> list[tuple[str, str]] | None:
         raw = [(x.get(mapping["role"]), x.get(mapping["text"])) for x in record[mapping["each"]] if isinstance(x, dict)]
     else:
         raw = [(record.get(role[1:]) if role[0] == "$" else role, "\n\n".join(str(record[f]) for f in fields if record.get(f) is not None)) for role, fields in mapping["turns"] if any(f in record for f in fields)]
-    return [(ROLES.get(role, role) or "", "" if text is None else str(text)) for role, text in raw]
+    alias = {} if mapping["name"] == "turn_row" else ROLES
+    return [(str(alias.get(role, role) if role else ""), "" if text is None else str(text)) for role, text in raw]
 
 
 # Control strings of public chat templates, and our own marks `<|...|>`.

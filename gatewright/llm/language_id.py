@@ -9,9 +9,11 @@ largest count decides.
 Training: of each language all documents, or about LANG_DOCS by id hash where there are
 more; so a rare language is learned at every size of the input.  A gram belongs to a language if its rate there is at least MIN_RATE and at least SHARE of its
 highest rate in any language, so passages in a foreign language do not blur the
-filters.  All languages are learned; a model takes 2 MB for each 64 of them.
+filters.  All languages are learned.  The filters have SLOT_BITS bits each, or as many
+more as keep the fullest of them below FULL; since a language has at most 1 / MIN_RATE
+grams, a model takes at most 8 MB for each 64 languages.
 
-Defined results: null text or text without a letter gives `und` and score 0; a text
+Defined results: letters are the characters of Unicode's categories L*; null text or text without a letter gives `und` and score 0; a text
 with letters but no known gram gives the most frequent language and score 0; ties go to
 the alphabetically first language; whole texts are counted; repeated rows are
 predicted alike.  The score is the corrected share of grams that the language explains.
@@ -19,10 +21,9 @@ predicted alike.  The score is the corrected share of grams that the language ex
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +35,8 @@ LANG_DOCS = 8000
 SLOT_BITS, HASHES = 18, 3
 MIN_RATE, SHARE = 2e-5, 0.25
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+FULL = 0.3
+_LETTER = regex.compile(r"\p{L}")
 
 #: Bytes of a word: ASCII letters in lower case and all bytes of non-ASCII characters; the rest is one separator.
 _FOLD = np.full(256, 32, np.uint8)
@@ -62,8 +64,16 @@ def grams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[at], np.searchsorted(at, offs)
 
 
-def _slots(codes: np.ndarray, j: int) -> np.ndarray:
-    return (mix(codes.astype(U64) + U64((j + 1) << 40)) >> U64(64 - SLOT_BITS)).astype(np.int64)
+def _slots(codes: np.ndarray, j: int, bits: int) -> np.ndarray:
+    return (mix(codes.astype(U64) + U64((j + 1) << 40)) >> U64(64 - bits)).astype(np.int64)
+
+
+def _bits(most: int) -> int:
+    """log2 of the rows of the table for languages of at most `most` grams."""
+    bits = SLOT_BITS
+    while HASHES * most > FULL * (1 << bits):
+        bits += 1
+    return bits
 
 
 def _parts(texts, size: int = 1 << 20):
@@ -87,6 +97,10 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([lang, pa.array((key & U64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
+def _log(rows: np.ndarray) -> int:
+    return len(rows).bit_length() - 1
+
+
 def train(docs: DataFrame, most: int = LANG_DOCS) -> dict:
     """Filters from `docs` (doc_id, text, lang), which the caller restricts to training rows."""
     known = docs.where("lang is not null and text is not null")
@@ -94,7 +108,7 @@ def train(docs: DataFrame, most: int = LANG_DOCS) -> dict:
     counts = sample.select("text", "lang").mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
-    rows = np.zeros((1 << SLOT_BITS, max(1, -(-len(langs) // 64))), U64)
+    rows = np.zeros((1 << SLOT_BITS, 1), U64)
     if langs:
         of = docs.sparkSession.createDataFrame([(x, i // 64, i % 64, totals[x]) for i, x in enumerate(langs)], "lang string, word int, bit int, total bigint")
         each = counts.join(F.broadcast(of), "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= MIN_RATE)
@@ -102,8 +116,10 @@ def train(docs: DataFrame, most: int = LANG_DOCS) -> dict:
         found = each.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("word", "bit", "rate")).alias("x")).selectExpr("gram", f"inline(filter(x, y -> y.rate >= {SHARE} * top))")
         kept = found.groupBy("gram", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask")).toArrow()
         codes, words, masks = (kept.column(c).to_numpy() for c in ("gram", "word", "mask"))
+        held = [int(((masks.astype(np.int64).view(U64)[words == i // 64] >> U64(i % 64)) & U64(1)).sum()) for i in range(len(langs))]
+        rows = np.zeros((1 << _bits(max(held)), -(-len(langs) // 64)), U64)
         for j in range(HASHES):
-            np.bitwise_or.at(rows, (_slots(codes.astype(U64), j), words), masks.astype(np.int64).view(U64))
+            np.bitwise_or.at(rows, (_slots(codes.astype(U64), j, _log(rows)), words), masks.astype(np.int64).view(U64))
     fill = np.array([float(((rows[:, i // 64] >> U64(i % 64)) & U64(1)).mean()) for i in range(len(langs))])
     return {"langs": langs, "rows": rows, "false": fill**HASHES, "common": max(langs, key=lambda x: (seen[x], x)) if langs else UNKNOWN}
 
@@ -116,7 +132,7 @@ def classify(texts, model: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
         codes, at = grams(data, offs)
         if not len(codes) or not langs:
             continue
-        slots = [_slots(codes, j) for j in range(HASHES)]
+        slots = [_slots(codes, j, _log(rows)) for j in range(HASHES)]
         n = length[row:to] = np.diff(at)
         shares = np.zeros((len(langs), to - row))
         for i in range(len(langs)):
@@ -142,8 +158,9 @@ def classify(texts, model: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """All rows and columns of `docs` plus lang_pred and lang_score (columns of these names are replaced)."""
-    docs = docs.drop("lang_pred", "lang_score")
+    """All rows and columns of `docs` plus lang_pred and lang_score; a column of such a name of the caller's stays as `<name>_in`."""
+    for name in ("lang_pred", "lang_score"):
+        docs = docs.withColumnRenamed(name, f"{name}_in")
     names = docs.columns
 
     def run(batches):

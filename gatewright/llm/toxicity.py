@@ -1,20 +1,25 @@
-"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
-
-Training (at most TRAIN_TOXIC toxic and TRAIN_ORDINARY ordinary labelled documents)
-counts in how many documents of each class each word prefix and piece occurs.  The
-toxic dictionary holds the pieces most significant for toxic documents behind a stock
-of the most frequent ordinary words; the ordinary dictionary holds the same stock
-behind filler of the same size, so both code ordinary text alike.
-
-A text is cut at word boundaries into windows of WINDOW_BYTES or a little more.  Each
-window is compressed with either dictionary behind a short anchor that both
-dictionaries know (so that a block is always compressed and a match always pays), and
-the difference of lengths is its distance.  A document's histogram of distances feeds
-a logistic calibration fitted on the training documents.
+"""Toxicity by compression distance: zstandard dictionaries trained on toxic and on ordinary text.
+
+Training uses at most TRAIN_TOXIC toxic and TRAIN_ORDINARY ordinary labelled documents.
+Each class has a dictionary of its own, trained by zstandard on words of that class,
+every word given as often as documents of the class hold it: for the toxic class the
+words that are significantly more frequent there than in ordinary documents (ordinary
+words would fill the dictionary and tell nothing), for the ordinary class the words of
+a sample of ordinary windows.  Behind both stands the same common part, trained on the
+sampled ordinary windows, so that both code ordinary text alike.
+
+A text is cut into windows of WINDOW_BYTES or up to the next space, at most twice as
+many bytes where there is none.  Each window is compressed with either dictionary behind
+a short anchor that both know (so that a block is always compressed and a match always
+pays); the difference of the two lengths is its distance.  A document's counts and
+shares of windows by distance feed a logistic calibration fitted on the training
+documents, whose probability is the score; THRESHOLD decides.
 
 Defined results: null and empty texts have one empty window and get its score; repeated
-rows are scored alike; whole texts are scored, window by window, in linear time.
-If a class has no training document all scores are the base rate.
+rows are scored alike, each for itself; whole texts are scored, window by window, in linear
+time; ids that share labels 0 and 1 count as toxic; other columns are not looked at.
+If a class has no training document all scores are the base rate; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -32,75 +37,81 @@ from .sampling import bounded_sample
 
 TRAIN_TOXIC, TRAIN_ORDINARY = 4000, 8000
 WINDOW_BYTES = 14
-PIECES, STOCK = 200, 1000
-#: A piece is toxic if its standardised difference of document shares is at least this.
-SIGNIFICANT = 6.0
-LEAST_DOCS = 5
+#: Bytes of the class's own and of the common part of a dictionary.
+OWN_BYTES, COMMON_BYTES = 1024, 4096
+#: Sampled ordinary windows, and their bytes.
+SAMPLE_WINDOWS, SAMPLE_BYTES = 20_000, 64
+#: A word is toxic training text if its standardised difference of document shares is at least SIGNIFICANT; at most WORDS words are.
+SIGNIFICANT, LEAST_DOCS, WORDS = 6.0, 5, 5000
 THRESHOLD = 0.7
 ANCHOR = b"#anchor:0123456789abcdefghijklmnopqrstuvwxyz:"
+#: Distances below LOW and above HIGH share the outer counts.
 LOW, HIGH = -3, 9
 
+PARAMS = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=3, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0)
+
 
 def normal(text: str | None) -> str:
     return f" {' '.join((text or '').lower().split())} "
 
 
-def pieces(text: str | None) -> set[str]:
-    """Word starts of 4 to 10 letters, inner pieces of 5 to 8, and whole words."""
-    out = set()
-    for w in set(normal(text).split()):
-        w = re.sub(r"^\W+|\W+$", "", w)
-        if not w or len(w) > 64:  # longer runs are no words of a language
-            continue
-        out.add(f" {w} ")
-        out.update(f" {w[:n]}" for n in range(4, min(10, len(w)) + 1))
-        out.update(w[i : i + n] for n in range(5, min(8, len(w)) + 1) for i in range(1, len(w) - n + 1))
-    return out
+def windows(text: str | None, size: int):
+    b = normal(text).encode("utf-8", "replace")
+    at, last = 0, len(b) - 1
+    while at < last:
+        end = b.find(b" ", at + size, at + 2 * size)
+        if end < 0:  # the text ends, or a run without spaces is cut
+            end = min(last, at + 2 * size)
+        yield b[at : end + 1]
+        at = end
 
 
-def _count(batches):
+def _words(batches):
+    """(word, toxic documents, ordinary documents), summed in the task."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
 
     def flush():
         for k in (0, 1):
             if seen[k]:
-                yield pa.RecordBatch.from_arrays([pa.array(seen[k].keys(), pa.string()), pa.array([k * v for v in seen[k].values()], pa.int64()), pa.array([(1 - k) * v for v in seen[k].values()], pa.int64())], names=["piece", "toxic", "plain"])
+                n = list(seen[k].values())
+                yield pa.RecordBatch.from_arrays([pa.array(seen[k].keys(), pa.string()), pa.array([k * v for v in n], pa.int64()), pa.array([(1 - k) * v for v in n], pa.int64())], names=["word", "toxic", "plain"])
                 seen[k].clear()
 
     for batch in batches:
         for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-            seen[toxic].update(pieces(text))
-            if len(seen[0]) + len(seen[1]) > 500_000:
+            seen[toxic].update({x for w in set(normal(text).split()) if (x := re.sub(r"^\W+|\W+$", "", w))})
+            if len(seen[0]) + len(seen[1]) > 200_000:
                 yield from flush()
     yield from flush()
 
 
-def _choose(scored, most: int) -> list[str]:
-    """The best pieces, longest first among equals, without pieces inside one chosen before."""
-    out: list[str] = []
-    for score, piece in sorted(scored, key=lambda x: (-round(x[0], 3), -len(x[1]), x[1])):
-        if not any(piece in x for x in out):
-            out.append(piece)
-            if len(out) == most:
-                break
-    return out
+def _cut(batches):
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            got = list(windows(text, SAMPLE_BYTES))
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["w"])
 
 
-def _compressor(raw: bytes):
-    params = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0)
-    book = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    book.precompute_compress(compression_params=params)
-    return zstandard.ZstdCompressor(dict_data=book, compression_params=params)
+def _book(samples: list[bytes], size: int) -> bytes:
+    """A dictionary trained by zstandard; where there is too little text to train on, the text itself."""
+    samples = [x.ljust(8) for x in samples]
+    try:
+        return zstandard.train_dictionary(size, samples, k=8, d=6, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def windows(text: str | None):
-    b = normal(text).encode("utf-8", "replace")
-    at, last = 0, len(b) - 1
-    while at < last:
-        end = b.find(b" ", at + WINDOW_BYTES)
-        end = last if end < 0 else end
-        yield b[at : end + 1]
-        at = end
+def _dealt(times: dict[str, int]):
+    """Every word as often as its count, in rounds: the trainer picks from each stretch of its samples, so all stretches need all words."""
+    words = sorted(times)
+    for turn in range(max(times.values(), default=0)):
+        yield from (w for w in words if times[w] > turn)
+
+
+def _compressor(raw: bytes):
+    book = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    book.precompute_compress(compression_params=PARAMS)
+    return zstandard.ZstdCompressor(dict_data=book, compression_params=PARAMS)
 
 
 class Scorer:
@@ -108,13 +119,14 @@ class Scorer:
         self.toxic, self.plain = (_compressor(x) for x in books)
 
     def distances(self, text: str | None) -> np.ndarray:
+        """Bytes that the toxic dictionary saves against the ordinary one, by window."""
         toxic, plain = self.toxic.compress, self.plain.compress
-        return np.array([len(plain(ANCHOR + w)) - len(toxic(ANCHOR + w)) for w in windows(text)] or [0])
+        return np.array([len(plain(ANCHOR + w)) - len(toxic(ANCHOR + w)) for w in windows(text, WINDOW_BYTES)] or [0])
 
     def features(self, text: str | None) -> np.ndarray:
         d = self.distances(text)
         n = np.bincount(np.clip(d, LOW, HIGH) - LOW, minlength=HIGH - LOW + 1)
-        return np.concatenate([np.log1p(n), n / len(d), [min(d.max(), 40), d.mean()]])
+        return np.concatenate([np.log1p(n), n / len(d), [d.max(), d.mean()]])
 
 
 WIDTH = 2 * (HIGH - LOW + 1) + 2
@@ -146,26 +158,25 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, ordinary_docs: int = TRAIN_ORDINARY) -> dict:
     """Fit on `labels` (doc_id, toxic), which the caller restricts to training rows."""
     marked = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # one row per labelled id, so at most toxic_docs + ordinary_docs rows of numbers are broadcast
     ids = bounded_sample(marked.where("toxic = 1"), toxic_docs, "toxic").unionByName(bounded_sample(marked.where("toxic = 0"), ordinary_docs, "toxic"))
-    # at most toxic_docs + ordinary_docs pairs of numbers are broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
-    n = dict.fromkeys((0, 1), 0) | {r[0]: r[1] for r in ids.groupBy("toxic").count().collect()}
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic")), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    n = dict.fromkeys((0, 1), 0) | {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     if not n[0] or not n[1]:
         return {"rate": n[1] / max(1, n[0] + n[1])}
-    counts = sample.mapInArrow(_count, "piece string, toxic bigint, plain bigint").groupBy("piece").agg(F.sum("toxic").alias("t"), F.sum("plain").alias("o"))
+    sample = sample.select("text", "toxic")
+    counts = sample.mapInArrow(_words, "word string, toxic bigint, plain bigint").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("plain").alias("o"))
     share = (F.col("t") + F.col("o")) / F.lit(n[0] + n[1])
     z = (F.col("t") / n[1] - F.col("o") / n[0]) / F.sqrt(share * (1 - share) * (1 / n[1] + 1 / n[0]) + 1e-9)
-    counts = counts.withColumn("z", z)
-    best = counts.where((F.col("t") >= LEAST_DOCS) & (F.col("z") >= SIGNIFICANT)).orderBy(F.desc("z"), "piece").limit(10 * PIECES).collect()
-    chosen = _choose([(r.z, r.piece) for r in best], PIECES)
-    stock = [r.piece for r in counts.where(F.col("piece").startswith(" ")).orderBy(F.desc("o"), "piece").limit(2 * STOCK).collect()]
-    stock = [w for w in stock if not any(w.strip() == x.strip() or len(x.strip()) >= 5 and x.strip() in w for x in chosen)][:STOCK]
-    common, special = "".join(stock[::-1]).encode(), "".join(chosen[::-1]).encode()
-    filler = bytes((37 * i * i + 11 * i) % 26 + 65 for i in range(len(special)))
-    books = (common + special + ANCHOR, common + filler + ANCHOR)
-    rows = sample.mapInArrow(_features(books), "f array<double>, toxic int").collect()
+    toxic = counts.where(F.col("t") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "word").limit(WORDS).collect()
+    cut = sample.where("toxic = 0").mapInArrow(_cut, "w binary").orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WINDOWS)
+    ordinary = [bytes(r.w) for r in cut.collect()]  # at most SAMPLE_WINDOWS * 2 * SAMPLE_BYTES bytes
+    common = zstandard.train_dictionary(COMMON_BYTES, ordinary, k=64, d=8, level=3).as_bytes() if len(ordinary) > 1000 else b" ".join(ordinary)[-COMMON_BYTES:]
+    own = [_book([f" {w} ".encode() for w in _dealt({r.word: r.t for r in toxic})], OWN_BYTES), _book([b" " + w + b" " for x in ordinary for w in x.split()], OWN_BYTES)]
+    books = tuple(x + common + ANCHOR for x in own)
+    rows = sample.mapInArrow(_features(books), "f array<double>, toxic int").collect()  # at most toxic_docs + ordinary_docs rows of WIDTH numbers
     x, y = np.array([r.f for r in rows]), np.array([r.toxic for r in rows])
-    order = np.lexsort((*x.T, y))  # the sums below do not depend on the order in which rows arrive
+    order = np.lexsort((*x.T, y))
     return {"books": books, "fit": _logistic(x[order], y[order])}
 
 

@@ -387,7 +387,7 @@ def test_decontamination_brute_force(spark, corpus):
     docs = make(spark, corpus)
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.digest(docs, bench).collect()
-    assert len(got) == len(set(corpus))
+    assert len(got) == len(corpus)  # a row for every row, repeated ones too
     by = {i: t for i, t in corpus}
     for r in got:
         w, hit, seen = low(by[r.doc_id]), set(), set()
@@ -432,3 +432,34 @@ def test_random_strings_are_added(spark):
     docs = make(spark, [(i, f"{name()} token = {noise(32)} {name()}") for i in range(200)] + [(500, f"see {noise(40)} here {name()}"), (501, None), (502, name())])
     got = {r.doc_id: r for r in secrets.find(docs, secrets.train(docs.where("doc_id < 300"))).collect()}
     assert got[500].spans == "random:4:44" and got[501].spans == got[502].spans == "" and got[3].n_assign == 1
+
+
+def test_distances_are_compressed_lengths():
+    import zstandard
+
+    books = (b" scum trash common text " + toxicity.ANCHOR, b" quiet words common text " + toxicity.ANCHOR)
+    scorer = toxicity.Scorer(books)
+    text = "You scum, trash talk and common text é " * 3 + "x" * 500 + "汉" * 300
+    cut = list(toxicity.windows(text, toxicity.WINDOW_BYTES))
+    whole = toxicity.normal(text).encode()
+    at = 0
+    for w in cut:  # windows cover the whole text, one byte in common, and unspaced runs are cut too
+        assert whole[at : at + len(w)] == w and len(w) <= 2 * toxicity.WINDOW_BYTES + 1
+        at += len(w) - 1
+    assert at == len(whole) - 1
+    plain = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=toxicity.PARAMS) for b in books]
+    want = [len(plain[1].compress(toxicity.ANCHOR + w)) - len(plain[0].compress(toxicity.ANCHOR + w)) for w in cut]
+    assert scorer.distances(text).tolist() == want and max(want) > 0
+    n = scorer.features(text)[: toxicity.HIGH - toxicity.LOW + 1]
+    assert np.expm1(n).sum() == pytest.approx(len(cut))
+
+
+def test_toxicity_edges(spark):
+    rows = [(i, f"gentle text number {i} " * 20 + (" vermin filth " * 3 if i % 3 == 0 else "")) for i in range(90)]
+    docs = make(spark, rows + [(7, rows[7][1]), (None, "vermin filth"), (95, None)])
+    marks = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(4, 1), (4, 0), (4, None), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.train(docs.withColumn("toxic", docs.text), marks)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 93 and len({r.score for r in got if r.doc_id == 7}) == 1
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    assert {r.score for r in toxicity.score(docs, toxicity.train(docs.limit(0), marks.limit(0))).collect()} == {0.0}
