@@ -25,6 +25,7 @@ an empty result.
 from __future__ import annotations
 
 import re
+import struct
 from collections import Counter
 
 import numpy as np
@@ -44,11 +45,13 @@ SAMPLE_WINDOWS, SAMPLE_BYTES = 20_000, 64
 #: A word is toxic training text if its standardised difference of document shares is at least SIGNIFICANT; at most WORDS words are.
 SIGNIFICANT, LEAST_DOCS, WORDS = 6.0, 5, 5000
 THRESHOLD = 0.7
+#: An ordinary training document weighs as much as so many toxic ones, as false alarms cost clean text.
+FALSE_COST = 2.0
 ANCHOR = b"#anchor:0123456789abcdefghijklmnopqrstuvwxyz:"
-#: Distances below LOW and above HIGH share the outer counts.
-LOW, HIGH = -3, 9
+#: Distances at which windows are counted.
+STEPS = (-3, -1, 2, 3, 4, 5, 6, 8)
 
-PARAMS = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=5, min_match=3, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0)
+PARAMS = zstandard.ZstdCompressionParameters(window_log=17, hash_log=15, chain_log=15, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0)
 
 
 def normal(text: str | None) -> str:
@@ -92,11 +95,19 @@ def _cut(batches):
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary())], names=["w"])
 
 
+def _content(book: zstandard.ZstdCompressionDict) -> bytes:
+    """The text of a trained dictionary: what follows its entropy tables, which end with three offsets (1, 4, 8)."""
+    raw = book.as_bytes()
+    mark = struct.pack("<III", 1, 4, 8)
+    at = raw.find(mark)
+    return raw[at + len(mark) :] if at >= 0 else raw
+
+
 def _book(samples: list[bytes], size: int) -> bytes:
     """A dictionary trained by zstandard; where there is too little text to train on, the text itself."""
     samples = [x.ljust(8) for x in samples]
     try:
-        return zstandard.train_dictionary(size, samples, k=8, d=6, level=3).as_bytes()
+        return _content(zstandard.train_dictionary(size, samples, k=16, d=8, level=3))
     except zstandard.ZstdError:
         return b"".join(dict.fromkeys(samples))[-size:]
 
@@ -124,12 +135,13 @@ class Scorer:
         return np.array([len(plain(ANCHOR + w)) - len(toxic(ANCHOR + w)) for w in windows(text, WINDOW_BYTES)] or [0])
 
     def features(self, text: str | None) -> np.ndarray:
+        """For each of the distances STEPS: the log count and the share of windows at or beyond it; and the mean."""
         d = self.distances(text)
-        n = np.bincount(np.clip(d, LOW, HIGH) - LOW, minlength=HIGH - LOW + 1)
-        return np.concatenate([np.log1p(n), n / len(d), [d.max(), d.mean()]])
+        n = np.array([(d >= t).sum() if t > 0 else (d <= t).sum() for t in STEPS])
+        return np.concatenate([np.log1p(n), n / len(d), [d.mean()]])
 
 
-WIDTH = 2 * (HIGH - LOW + 1) + 2
+WIDTH = 2 * len(STEPS) + 1
 
 
 def _features(books):
@@ -145,10 +157,10 @@ def _features(books):
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0):
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w = np.zeros(z.shape[1])
+    w, cost = np.zeros(z.shape[1]), np.where(y == 1, 1.0, FALSE_COST)
     for _ in range(100):
         p = 1 / (1 + np.exp(-z @ w))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (p - y) + ridge * w)
+        step = np.linalg.solve((z * (cost * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w)), z.T @ (cost * (p - y)) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -171,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TRAIN_TOXIC, ord
     toxic = counts.where(F.col("t") >= LEAST_DOCS).withColumn("z", z).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "word").limit(WORDS).collect()
     cut = sample.where("toxic = 0").mapInArrow(_cut, "w binary").orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WINDOWS)
     ordinary = [bytes(r.w) for r in cut.collect()]  # at most SAMPLE_WINDOWS * 2 * SAMPLE_BYTES bytes
-    common = zstandard.train_dictionary(COMMON_BYTES, ordinary, k=64, d=8, level=3).as_bytes() if len(ordinary) > 1000 else b" ".join(ordinary)[-COMMON_BYTES:]
+    common = _content(zstandard.train_dictionary(COMMON_BYTES, ordinary, k=64, d=8, level=3)) if len(ordinary) > 1000 else b" ".join(ordinary)[-COMMON_BYTES:]
     own = [_book([f" {w} ".encode() for w in _dealt({r.word: r.t for r in toxic})], OWN_BYTES), _book([b" " + w + b" " for x in ordinary for w in x.split()], OWN_BYTES)]
     books = tuple(x + common + ANCHOR for x in own)
     rows = sample.mapInArrow(_features(books), "f array<double>, toxic int").collect()  # at most toxic_docs + ordinary_docs rows of WIDTH numbers

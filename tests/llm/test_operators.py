@@ -450,8 +450,8 @@ def test_distances_are_compressed_lengths():
     plain = [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(b, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=toxicity.PARAMS) for b in books]
     want = [len(plain[1].compress(toxicity.ANCHOR + w)) - len(plain[0].compress(toxicity.ANCHOR + w)) for w in cut]
     assert scorer.distances(text).tolist() == want and max(want) > 0
-    n = scorer.features(text)[: toxicity.HIGH - toxicity.LOW + 1]
-    assert np.expm1(n).sum() == pytest.approx(len(cut))
+    n = np.expm1(scorer.features(text)[: len(toxicity.STEPS)])
+    assert n.tolist() == pytest.approx([sum(x >= t if t > 0 else x <= t for x in want) for t in toxicity.STEPS])
 
 
 def test_toxicity_edges(spark):
