@@ -134,36 +134,86 @@ def test_rare_and_many_languages_are_learned(spark):
 # 4 ---------------------------------------------------------------- mixing
 
 
-def test_raking_meets_targets(spark):
-    random.seed(4)
-    rows = [(f"s{a}", b, c, random.randint(10, 900)) for a in range(3) for b in ("en", "de") for c in ("p", "q")]
-    sources, langs, topics = {"s0": 0.5, "s1": 0.3, "s2": 0.2}, {"en": 0.7, "de": 0.3}, {"p": 0.4, "q": 0.6}
-    cells = spark.createDataFrame(rows, "s string, l string, t string, tokens long")
-    got = mixing.raked(cells, sources, langs, topics, 0.3).collect()
-    # plain iterative proportional fitting
+def _bounded_fit(rows, goals, total, sweeps=3000):
+    """Plain iterative proportional fitting of p = min(1, w), by loops; goals are shares of `total` tokens."""
     w = {r[:3]: 1.0 for r in rows}
     n = {r[:3]: r[3] for r in rows}
-    for _ in range(mixing.SWEEPS):
-        for d, goal in enumerate((sources, langs, topics)):
+    for _ in range(sweeps):
+        for d, goal in enumerate(goals):
             sums = defaultdict(float)
             for k in w:
-                sums[k[d]] += n[k] * w[k]
+                sums[k[d]] += n[k] * min(1.0, w[k])
             for k in w:
-                w[k] *= goal[k[d]] / sums[k[d]]
+                w[k] *= goal[k[d]] * total / sums[k[d]]
+    return {k: min(1.0, x) for k, x in w.items()}
+
+
+@pytest.mark.parametrize("budget", [0.05, 0.4])
+def test_raking_meets_targets(spark, budget):
+    random.seed(4)
+    rows = [(a, b, c, random.randint(10, 900)) for a in range(3) for b in range(2) for c in range(2)]
+    sources, langs, topics = {"s0": 0.5, "s1": 0.3, "s2": 0.2}, {"en": 0.7, "de": 0.3}, {"p": 0.4, "q": 0.6}
+    cells = spark.createDataFrame(rows, "s int, l int, t int, tokens long")
+    got = mixing.raked(cells, sources, langs, topics, budget).collect()
+    total = sum(r[3] for r in rows)
+    beta = got[0].beta
+    assert beta <= budget and (budget > 0.05 or beta == budget) and all(r.miss <= mixing.TOLERANCE and 0 <= r.p <= 1 for r in got)
+    want = _bounded_fit(rows, [list(x.values()) for x in (sources, langs, topics)], beta * total)
+    assert len(got) == len(rows)
     for r in got:
-        assert r.w == pytest.approx(w[r.s, r.l, r.t], rel=1e-9)
-    total = sum(n.values())
-    assert sum(r.tokens * r.p for r in got) == pytest.approx(0.3 * total, rel=1e-6)
-    assert all(r.p == pytest.approx(min(1.0, r.want)) for r in got)
+        assert r.p == pytest.approx(want[r.s, r.l, r.t], abs=0.02)
+    assert sum(r.tokens * r.p for r in got) == pytest.approx(beta * total, rel=3e-3)
+    for d, x in enumerate((sources, langs, topics)):
+        for k, share in enumerate(x.values()):
+            assert sum(r.tokens * r.p for r in got if r[d] == k) / (beta * total) == pytest.approx(share, abs=2e-3)
+
+
+def test_budget_is_lowered_where_targets_need_it(spark):
+    cells = spark.createDataFrame([(0, 0, 0, 900), (1, 0, 0, 100)], "s int, l int, t int, tokens long")
+    got = {r.s: r for r in mixing.raked(cells, {"a": 0.5, "b": 0.5}, {}, {}, 0.9).collect()}
+    assert got[0].beta == pytest.approx(0.2) and got[0].p == pytest.approx(1 / 9, rel=1e-2) and got[1].p == pytest.approx(1.0, rel=1e-2)
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.1", 0.01)])
+def test_realised_shares_meet_targets(spark, sf, most):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    told = mixing.margins(docs).collect()
+    assert 0.05 < told[0].budget <= mixing.BUDGET
+    kept = mixing.mix(docs).persist()
+    total = kept.agg({"tokens": "sum"}).first()[0]
+    real = {(name, r[0]): r[1] / total for name, col in (("source", "source"), ("language", "lang"), ("topic", "topic_group")) for r in kept.groupBy(col).agg({"tokens": "sum"}).collect()}
+    kept.unpersist()
+    seen = 0
+    for r in told:
+        if r.planned is not None:
+            # targets without documents leave their part to the others
+            absent = sum(x.target for x in told if x.dimension == r.dimension and x.planned is None)
+            assert r.planned == pytest.approx(r.target / (1 - absent), abs=1e-3)
+            assert r.realised == pytest.approx(real[r.dimension, r.value], abs=1e-9) and abs(r.realised - r.planned) < most
+            seen += 1
+    assert seen == 20 + 4 + 4
 
 
 def test_mixing_edges(spark, corpus):
     docs = make(spark, corpus)
     kept = mixing.mix(docs, {"src0": 0.5, "src1": 0.5}, {}, {}, budget=0.5).collect()
-    assert kept and {r.source for r in kept} <= {"src0", "src1"} and all(r.tokens > 0 and 0 < r.probability <= 1 <= r.mix_weight + 1e-9 for r in kept)
-    assert mixing.mix(docs.limit(0)).count() == 0
-    clash = docs.selectExpr("*", "1 tokens", "2 probability")
-    assert "tokens" in mixing.mix(clash).columns and mixing.mix(clash).count() >= 0
+    assert kept and {r.source for r in kept} <= {"src0", "src1"} and all(r.tokens > 0 and 0 < r.probability <= 1 and r.mix_weight > 0 for r in kept)
+    by = {i: t for i, t in corpus}
+    assert all(r.tokens == len(words(by[r.doc_id])) for r in kept)
+    assert mixing.mix(docs.limit(0)).count() == 0 and mixing.margins(docs.limit(0)).where("planned is not null").count() == 0
+    clash = docs.selectExpr("*", "doc_id + 1 tokens", "'x' probability", "'y' topic", "'z' s", "1 u", "2 cut")
+    got = mixing.mix(clash)
+    assert got.columns == ["doc_id", "text", "lang", "source", "tokens_in", "probability_in", "topic", "s", "u", "cut", "tokens", "topic_group", "probability", "mix_weight"]
+    rows = got.collect()
+    assert rows and all(r.probability_in == "x" and r.topic == "y" and (r.doc_id is None or r.tokens_in == r.doc_id + 1) for r in rows)
+    plain = mixing.mix(docs).select("doc_id").collect()
+    assert sorted(map(str, plain)) == sorted(str(x) for x in got.select("doc_id").collect())
+    twice = mixing.mix(docs.union(docs)).groupBy("doc_id").count().collect()
+    copies = defaultdict(int)
+    for i, _ in corpus:
+        copies[i] += 2
+    assert twice and all(r["count"] == copies[r.doc_id] for r in twice)  # repeated rows stay together
+    assert {r.topic_group for r in mixing.mix(clash, {}, {}, {"y": 1.0}, topic_column="topic").collect()} == {"y"}
 
 
 # 5 ---------------------------------------------------------------- personal data
