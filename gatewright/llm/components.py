@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import discard, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -25,15 +25,18 @@ def _small_star(e: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of `edges` (a, b); the component is its smallest node."""
+    """(node, component) of every node of `edges` (a, b), as a written table; the component is its smallest node."""
     e = edges.select("a", "b").where("a <> b").distinct()
     seen = None
     while True:
-        e = written(_small_star(_large_star(e)).where("a <> b").distinct())
+        last, e = e, written(_small_star(_large_star(e)).where("a <> b").distinct())
         # stars are stable: the order-free digest of the edges repeats
+        discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
         seen = now
     nodes = e.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    return nodes.union(e.select(F.col("a"), F.col("a")).distinct())
+    out = written(nodes.union(e.select(F.col("a"), F.col("a")).distinct()))
+    discard(e)
+    return out

@@ -54,22 +54,22 @@ def expand(raw: bytes) -> list[np.ndarray]:
     return out
 
 
-def bucket_blobs(hashes: np.ndarray, values: np.ndarray, n: int, directory):
-    """(bucket, blob) of hashes sorted ascending, each with a small unsigned value.
+def bucket_blobs(hashes: np.ndarray, values: np.ndarray, n: int, directory, bits: int = 64, more: np.ndarray | None = None, more_width: int = 0):
+    """(bucket, blob) of hashes of `bits` bits sorted ascending, each with a small unsigned value and `more_width` bytes of `more`.
 
     directory(values) gives the values to store and the bytes that explain them; it
     lists only the documents of the blob, so its size follows the blob's.
     """
     if not len(hashes):
         return
-    b = bucket_of(hashes, n)
+    b = bucket_of(hashes << U64(64 - bits), n)
     edges = np.flatnonzero(np.diff(b, prepend=-1))
     for lo, hi in zip(edges, [*edges[1:], len(b)]):
         h = hashes[lo:hi]
         v, told = directory(values[lo:hi])
         deltas = np.diff(h)
         wd, wv = width_of(deltas.max() if len(deltas) else 0), width_of(v.max())
-        yield int(b[lo]), b"".join((_HEAD.pack(hi - lo, wd, wv, int(h[0]), len(told)), told, pack(deltas, wd), pack(v, wv)))
+        yield int(b[lo]), b"".join((_HEAD.pack(hi - lo, wd, wv, int(h[0]), len(told)), told, pack(deltas, wd), pack(v, wv), pack(more[lo:hi], more_width) if more_width else b""))
 
 
 def listing(*columns: np.ndarray):
@@ -86,7 +86,8 @@ def listing(*columns: np.ndarray):
     return told
 
 
-def open_blob(raw: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+def open_blob(raw: bytes, more_width: int = 0) -> tuple:
+    """(hashes, values, directory), and `more` if the blob has it."""
     n, wd, wv, first, size = _HEAD.unpack_from(raw)
     at = _HEAD.size
     directory, at = raw[at : at + size], at + size
@@ -94,4 +95,6 @@ def open_blob(raw: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
     h[0] = first
     h[1:] = unpack(raw[at : at + (n - 1) * wd], wd, n - 1)
     at += (n - 1) * wd
-    return np.cumsum(h, dtype=U64), unpack(raw[at : at + n * wv], wv, n), directory
+    found = np.cumsum(h, dtype=U64), unpack(raw[at : at + n * wv], wv, n), directory
+    at += n * wv
+    return (*found, unpack(raw[at : at + n * more_width], more_width, n)) if more_width else found

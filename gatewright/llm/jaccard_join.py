@@ -3,32 +3,41 @@
 A document's set is its distinct SHINGLE-word shingles.  Two documents link when
 100 * |A & B| >= PERCENT * |A | B|.
 
-1. Global n-gram order: shingles are sorted by (number of documents, capped at CAP;
-   hash), rarest first.  Counts come from a packed hash exchange over all shingles of
-   all documents; shingles of one document only can link nothing and are dropped,
-   and so are documents whose remaining shingles cannot reach the threshold.
+1. Global n-gram order: shingles are sorted by (number of documents on a log scale of
+   STEPS steps an octave; hash), rarest first.  Counts come from a packed hash exchange over
+   all shingles of all documents; a shingle of HOT or more documents of one chunk has the last rank.
+   Shingles of one document only can link nothing and are dropped, and so are documents whose
+   remaining shingles cannot reach the threshold.
 2. Candidates: linked sets share a shingle among the first n - ceil(t n) + 1 of the
    order.  In each group of documents that share such a shingle only a star around
    one hub (first the document with fewest shingles of its own) is tried; groups
-   whose documents are already connected are done.  After ROUNDS stars, what is still
-   in several components is tried pair by pair, so no link that could join two
+   whose documents are already connected are done.  After ROUNDS stars, and more while a group
+   has over SMALL documents and stars still find links, what is still in several components is
+   tried pair by pair inside its group and size band, so no link that could join two
    components is lost and the pairs of a group that is connected are never listed.
    Pairs are tried only if their shared shingles can reach the threshold: by
    their number, and in the last step by the parity bitmaps of both sets, whose
    differing bits bound the symmetric difference from below.
-3. Vertical partitioning: the order is cut into FRAGMENTS ranges; the overlap of a
-   candidate pair is counted in each fragment separately and summed per pair.
+3. Vertical partitioning: the order is cut into FRAGMENTS ranges of equally many entries; the
+   overlap of a candidate pair is counted in each fragment separately and summed per pair.
 
-Copies (equal sets) are one node.  In a map task copies inside its chunk are
-collapsed, and a shingle of CAP or more documents of the chunk is sent to its bucket
-once, so hot shingles and hot groups of copies reach a bucket once per chunk.
+Copies (equal sets) are one node; the smallest document of a class is found per salt first,
+so a class of a third of all documents is spread over SALTS tasks.  In a map task copies
+inside its chunk are collapsed, and a shingle of HOT or more documents of the chunk is sent to
+its bucket once, so hot shingles and hot groups of copies reach a bucket once per chunk.
 
 Defined results: null or empty text has the empty set, 0 shingles, and is its own
 component; 1 to SHINGLE - 1 words are one shingle; null doc_id sorts first and its
 component is null if it is the smallest; rows that share doc_id are one node, whose
 set is that of the row with most shingles (ties: smaller fingerprint), though each row
-reports its own size.  Shingles are compared by 64-bit (sizes, copies: 128-bit) and
-48-bit (overlaps) hashes.
+reports its own size; repeated rows give as many rows; an empty table gives an empty one; other
+columns are not looked at, whatever their names (the two smallest longs, NULL_ID and the one after
+it, stand for null and for summaries and must not be ids).
+
+Equality: copies are found by two sums of 64 bits each, sizes by 64-bit and overlaps by 56-bit
+hashes.  Two sets of a and b shingles have a b / 2^56 false common ones on average, 1.4e-11 for
+1000 each; at 100 TB, with some 1e10 candidate pairs, 0.14 pairs have an overlap off by one, and
+only those within one shingle of the threshold would be linked wrongly.
 """
 
 from __future__ import annotations
@@ -41,18 +50,21 @@ from pyspark.sql import functions as F
 from .components import components
 from .exchange import bucket_blobs, bucket_count, doc_bucket, expand, listing, open_blob, squeeze
 from .prune import without
-from .storage import written
+from .storage import discard, written
 from .textcore import NULL_ID, U64, chunks, hash_words, mix, trim, window_hashes
 
 SHINGLE, PERCENT = 5, 75
-CAP = 32
+#: Documents of a chunk from which a shingle is sent once for all of them; steps of the count's log scale in an octave.
+HOT, STEPS = 32, 4
 FRAGMENTS = 4
-ROUNDS = 2
+#: Rounds of stars: at least and at most; and the documents of a group that are tried pair by pair without more stars.
+ROUNDS, MOST_ROUNDS, SMALL = 2, 8, 1000
+SALTS = 64
 #: 64-bit words of the parity bitmap.
 PARITY = 16
 CHUNK_BYTES = 4 << 20
 _SUMMARY = NULL_ID + 1
-_HIGH = 48
+_HIGH, _TOP = 56, 127
 _BLOB = "hop int, b int, blob binary"
 _TYPES = (pa.int32(), pa.int32(), pa.binary())
 
@@ -115,6 +127,11 @@ def _batches(found):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), _TYPES)], names=["hop", "b", "blob"])
 
 
+def _rank(df: np.ndarray) -> np.ndarray:
+    """Place of a count on the log scale, below _TOP."""
+    return np.minimum(_TOP - 1, (STEPS * np.log2(df)).astype(np.int64))
+
+
 def _token_mapper(k: int, n: int, n_docs: int):
     def run(batches):
         for ids, data, offs in chunks(batches, CHUNK_BYTES):
@@ -131,21 +148,21 @@ def _token_mapper(k: int, n: int, n_docs: int):
             row, h = row[order], h[order]
             edges = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             count = np.diff(np.append(edges, len(h)))
-            hot = np.repeat(count >= CAP, count)
+            hot = np.repeat(count >= HOT, count)
             first = np.zeros(len(h), bool)
             first[edges] = True
             if hot.any():
-                yield from _batches(_response(ids[row[hot]], sizes[row[hot]], h[hot].astype(np.int64), np.full(int(hot.sum()), CAP), n_docs))
+                yield from _batches(_response(ids[row[hot]], sizes[row[hot]], h[hot].astype(np.int64), np.full(int(hot.sum()), _TOP), n_docs))
             send = ~hot | first
             value = np.where(hot, len(ids), row)[send]
             told = listing(np.append(ids, _SUMMARY), np.append(sizes, 0))
-            yield from _batches((0, x, blob) for x, blob in bucket_blobs(h[send] << U64(64 - _HIGH), value, n, told))
+            yield from _batches((0, x, blob) for x, blob in bucket_blobs(h[send], value, n, told, _HIGH))
 
     return run
 
 
 def _count_hop(n_docs: int):
-    """Shingles of two or more documents, told to their documents with the capped count."""
+    """Shingles of two or more documents, told to their documents with their rank."""
 
     def run(table: pa.Table) -> pa.Table:
         if table["hop"][0].as_py() == 1:
@@ -156,7 +173,7 @@ def _count_hop(n_docs: int):
             h, at, directory = open_blob(raw)
             ids, n = expand(directory)
             at = at.astype(np.int64)
-            hs.append(h >> U64(64 - _HIGH))
+            hs.append(h)
             docs.append(ids[at])
             sizes.append(n[at].astype(np.int32))
         h = np.concatenate(hs)
@@ -164,10 +181,11 @@ def _count_hop(n_docs: int):
         h, doc, size = h[order], np.concatenate(docs)[order], np.concatenate(sizes)[order]
         summary = doc == _SUMMARY
         edges = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        df = np.add.reduceat(np.where(summary, CAP, 1), edges)
-        df = np.repeat(np.minimum(df, CAP), np.diff(np.append(edges, len(h))))
-        pick = (df > 1) & ~summary
-        out = list(_response(doc[pick], size[pick], h[pick].astype(np.int64), df[pick], n_docs))
+        many = np.diff(np.append(edges, len(h)))
+        hot = np.add.reduceat(summary.astype(np.int64), edges) > 0
+        rank = np.repeat(np.where(hot, _TOP, _rank(many)), many)
+        pick = np.repeat(hot | (many > 1), many) & ~summary
+        out = list(_response(doc[pick], size[pick], h[pick].astype(np.int64), rank[pick], n_docs))
         return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate(zip(("hop", "b", "blob"), _TYPES))})
 
     return run
@@ -209,13 +227,23 @@ def shared_sets(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Da
     return told.groupBy("b").applyInArrow(_doc_hop(percent), "doc bigint, n bigint, keys array<bigint>, parity array<bigint>")
 
 
+def _cuts(sets: DataFrame, fragments: int) -> list[int]:
+    """Keys that cut the global order into ranges of equally many entries; inside a rank the hash is uniform."""
+    ranks = sets.select(F.explode(F.expr(f"transform(keys, k -> shiftright(k, {_HIGH}))")).alias("r")).groupBy("r").count()
+    counts = sorted((int(r), n) for r, n in ranks.collect())  # at most _TOP + 1 rows
+    total, seen, out = sum(n for _, n in counts), 0, []
+    for r, n in counts:
+        while len(out) < fragments - 1 and seen + n >= total * (len(out) + 1) / fragments:
+            inside = (total * (len(out) + 1) / fragments - seen) / n
+            out.append((r << _HIGH) + min((1 << _HIGH) - 1, int(inside * (1 << _HIGH))))
+        seen += n
+    return out
+
+
 def _segments(sets: DataFrame, fragments: int) -> DataFrame:
     """(doc, v, seg): the sets cut at fixed places of the global order; empty segments are left out."""
-    # counts 2, 3 to 7, 8 to CAP - 1 and CAP are the first cuts; each is cut again by hash for more fragments
-    per = max(1, fragments // 4)
-    rank = f"shiftright(k, {_HIGH})"
-    v = f"((CASE WHEN {rank} < 3 THEN 0 WHEN {rank} < 8 THEN 1 WHEN {rank} < {CAP} THEN 2 ELSE 3 END) * {per} + cast(((k & {(1 << _HIGH) - 1}L) * {per}) DIV {1 << _HIGH}L as int))"
-    cut = ", ".join(f"struct({i} v, filter(keys, k -> {v} = {i}) seg)" for i in range(4 * per))
+    edges = [-1, *_cuts(sets, fragments), (1 << 63) - 1]
+    cut = ", ".join(f"struct({i} v, filter(keys, k -> k > {lo}L AND k <= {hi}L) seg)" for i, (lo, hi) in enumerate(zip(edges, edges[1:])))
     return sets.select("doc", F.explode(F.expr(f"filter(array({cut}), x -> size(x.seg) > 0)")).alias("x")).select("doc", "x.v", "x.seg")
 
 
@@ -249,41 +277,61 @@ def link_components(sets: DataFrame, percent: int = PERCENT, fragments: int = FR
     # in the order a document's own shingles come first: s = n - size(keys) of them
     ceil = f"cast(ceil(n * {percent} / 100.0) as bigint)"
     first = f"slice(keys, 1, cast(greatest(n - {ceil} + 1 - (n - size(keys)), 0) as int))"
-    prefix = written(sets.select("doc", "n", F.size("keys").cast("bigint").alias("m"), F.explode(F.expr(first)).alias("key")))
-    shared = prefix.groupBy("key").count().where("count > 1").select("key")
-    prefix = written(prefix.join(shared, "key"))
-    links, tried, found = None, None, None
-    for turn in range(rounds + 1):
+    whole = written(sets.select("doc", "n", F.size("keys").cast("bigint").alias("m"), F.explode(F.expr(first)).alias("key")))
+    shared = whole.groupBy("key").count().where("count > 1").select("key")
+    prefix = written(whole.join(shared, "key"))
+    links, tried, found, progress = None, None, None, True
+    scratch = [whole, prefix]
+    turn, last = 0, False
+    while not last:
         if found is None:
             part = prefix.withColumn("c", F.col("doc"))
         else:
             part = prefix.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("c", F.coalesce("component", "doc")).drop("component")
         # keys whose documents are in several components; of those, documents that can reach the smallest set of the key
-        split = part.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least_n")).where("lo < hi").select("key", "least_n")
-        part = part.join(split, "key").where(f"{100 + percent} * m >= {percent} * (n + least_n)").drop("least_n")
-        if turn < rounds:
+        split = part.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("n").alias("least_n"), F.count("*").alias("docs")).where("lo < hi")
+        last = turn >= rounds and (turn >= MOST_ROUNDS or not progress or (split.agg(F.max("docs")).first()[0] or 0) <= SMALL)
+        part = part.join(split.select("key", "least_n"), "key").where(f"{100 + percent} * m >= {percent} * (n + least_n)").drop("least_n")
+        if not last:
             by = F.col("n") - F.col("m") if turn == 0 else F.xxhash64("doc", F.lit(turn))
             hub = part.groupBy("key").agg(F.min_by(F.struct("doc", "n", "m", "c"), F.struct(by, "doc")).alias("y"))
             pairs = _paired(part.join(hub, "key").where("y.c <> c").select(F.struct("doc", "n", "m", "c").alias("x"), "y"))
         else:
             part = written(part.join(sets.select("doc", "parity"), "doc"))
-            left = part.select("key", *[F.col(c).alias(c + "a") for c in ("doc", "n", "m", "c", "parity")])
-            right = part.select("key", *[F.col(c).alias(c + "b") for c in ("doc", "n", "m", "c", "parity")])
-            differ = " + ".join(f"bit_count(paritya[{i}] ^ parityb[{i}])" for i in range(PARITY))
-            near = (F.col("doca") < F.col("docb")) & (F.col("ca") != F.col("cb")) & _reach(percent) & _reach(percent, f"((ma + mb - ({differ})) DIV 2)")
-            pairs = left.join(right, "key").where(near).selectExpr("doca a", "docb b", "na", "nb", "ma", "mb")
+            pairs = _near_pairs(part, percent)
         pairs = pairs.where(_reach(percent)).select("a", "b", "na", "nb").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs)
         fresh = written(_links(pairs, segments, percent))
+        scratch += [pairs, fresh, part]
         links = fresh if links is None else links.union(fresh)
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        if found is None or fresh.limit(1).count():
-            found = written(components(links))
+        progress = bool(fresh.limit(1).count())
+        if found is None or progress:
+            discard(found)
+            found = components(links)
+        turn += 1
+    discard(*scratch)
     return found
 
 
+def _near_pairs(part: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb, ma, mb) of a key in different components that sizes and parity bitmaps let through.
+
+    Linked sets differ in size by less than a factor of 100 / percent, so they are in one size band or in neighbouring ones, and a
+    document meets only the documents of its key in three bands.  A hot key with one band is a skewed join partition, which adaptive
+    execution splits on both sides.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    fields = ("doc", "n", "m", "c", "parity")
+    left = part.select("key", F.explode(F.array(band - 1, band, band + 1)).alias("band"), *[F.col(c).alias(c + "a") for c in fields])
+    right = part.select("key", band.alias("band"), *[F.col(c).alias(c + "b") for c in fields])
+    differ = " + ".join(f"bit_count(paritya[{i}] ^ parityb[{i}])" for i in range(PARITY))
+    near = (F.col("doca") < F.col("docb")) & (F.col("ca") != F.col("cb")) & _reach(percent) & _reach(percent, f"((ma + mb - ({differ})) DIV 2)")
+    return left.join(right, ["key", "band"]).where(near).selectExpr("doca a", "docb b", "na", "nb", "ma", "mb")
+
+
 def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc, n, prints of every row; member of each class of equal sets; sets of the class representatives)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -297,11 +345,14 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
         # texts of the chosen rows only
         chosen = _with_prints(docs, k).join(best.selectExpr("doc", "s.fa fa", "s.fb fb"), ["doc", "fa", "fb"], "left_semi")
         docs = docs.withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(clash, "doc", "left_anti").select("doc_id", "text").union(chosen.select("doc_id", "text"))
-    classes = nodes.where("n > 0").groupBy("n", "fa", "fb").agg(F.min("doc").alias("rep"))
-    member = written(nodes.where("n > 0").join(classes, ["n", "fa", "fb"]).select("doc", "rep"))
+    # the smallest document of a class, per salt first: every join below has at most SALTS rows of a class on one side
+    print_, salted = ["n", "fa", "fb"], nodes.where("n > 0").withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc), {SALTS}) as int)"))
+    part = salted.groupBy(*print_, "salt").agg(F.min("doc").alias("low"))
+    reps = part.join(part.groupBy(*print_).agg(F.min("low").alias("rep")), print_).select(*print_, "salt", "rep")
+    member = written(salted.join(reps, [*print_, "salt"]).select("doc", "rep"))
     sets = shared_sets(docs, k, percent).join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi")
     # a document may be in `member` once per equal row
-    return infos, member.distinct(), written(sets)
+    return infos, member, written(sets)
 
 
 def all_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -315,27 +366,35 @@ def all_links(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> tupl
     ceil = f"cast(ceil(n * {percent} / 100.0) as bigint)"
     first = f"slice(keys, 1, cast(greatest(n - {ceil} + 1 - (n - size(keys)), 0) as int))"
     prefix = written(sets.select("doc", "n", F.size("keys").cast("bigint").alias("m"), F.explode(F.expr(first)).alias("key")))
-    left, right = (prefix.select("key", *[F.col(c).alias(c + x) for c in ("doc", "n", "m")]) for x in "ab")
-    pairs = left.join(right, "key").where("doca < docb").where(_reach(percent)).selectExpr("doca a", "docb b", "na", "nb").distinct()
+    every = prefix.join(sets.select("doc", "parity"), "doc").withColumn("c", F.col("doc"))
+    pairs = _near_pairs(every, percent).select("a", "b", "na", "nb").distinct()
     links = overlaps(written(pairs), _segments(sets, FRAGMENTS)).where(f"100 * overlap >= {percent} * (na + nb - overlap)")
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return links.select(real("a"), real("b"), "na", "nb", "overlap"), member.select(real("doc").alias("doc_id"), real("rep"))
+    return links.select(real("a"), real("b"), "na", "nb", "overlap"), member.distinct().select(real("doc").alias("doc_id"), real("rep"))
 
 
-def shingle_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text)."""
+def _components(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, list]:
+    """(doc_id, n_shingles, component_id) for every row, and the written tables that it reads."""
     infos, member, sets = _classes(docs, k, percent)
     found = link_components(sets, percent)
-    component = member.join(found, member.rep == found.node, "left").select("doc", F.coalesce("component", "rep").alias("component"))
+    discard(sets)
+    component = member.distinct().join(found, member.rep == found.node, "left").select("doc", F.coalesce("component", "rep").alias("component"))
     out = infos.select("doc", "n").join(component, "doc", "left")
     real = lambda c: F.when(c != NULL_ID, c)
-    return out.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc")).alias("component_id"))
+    return out.select(real(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc")).alias("component_id")), [infos, member, found]
+
+
+def shingle_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of `docs` (doc_id, text)."""
+    return _components(docs, k, percent)[0]
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows of `docs` (all columns) that are the smallest document of their component; repeated rows of it stay once each."""
-    seen = shingle_components(docs, k, percent).where("NOT (doc_id <=> component_id)").select("doc_id")
-    return without(docs, written(seen.distinct()))
+    found, tables = _components(docs, k, percent)
+    gone = written(found.where("NOT (doc_id <=> component_id)").select("doc_id").distinct())
+    discard(*tables)
+    return without(docs, gone)
 
 
 def _with_prints(docs: DataFrame, k: int) -> DataFrame:
