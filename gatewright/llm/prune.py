@@ -29,14 +29,14 @@ def filter_blocks(ids: DataFrame, blocks: int) -> DataFrame:
     return held.select("block", F.expr(f"transform(sequence(0, {BLOCK_BITS // 64 - 1}), i -> coalesce(m[i], 0L)) bits"))
 
 
-def split_by_ids(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame | None, DataFrame]:
-    """(rows whose doc_id is surely not in `ids`, rows to look at), all columns each; (None, docs) if the filter would be too large."""
+def split_by_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame | None, DataFrame]:
+    """(rows whose `key` is surely not in `ids`, rows to look at), all columns each; (None, docs) if the filter would be too large."""
     n = ids.count()
     blocks = max(1, -(-n * BITS_PER_ID // BLOCK_BITS))
     if blocks * BLOCK_BITS > MOST_BITS:
         return None, docs
     table = filter_blocks(ids, blocks).select(F.col("block").alias("__block"), F.col("bits").alias("__bits"))
-    tested = docs.withColumn("__h", F.xxhash64(F.col("doc_id").cast("bigint"))).withColumn("__block", F.expr(f"cast(pmod(__h, {blocks}) as int)"))
+    tested = docs.withColumn("__h", F.xxhash64(F.col(key).cast("bigint"))).withColumn("__block", F.expr(f"cast(pmod(__h, {blocks}) as int)"))
     tested = tested.join(F.broadcast(table), "__block", "left")
     bit = lambda j: f"(shiftright(__bits[shiftright(cast(pmod(xxhash64(__h, {j}), {BLOCK_BITS}) as int), 6)], cast(pmod(xxhash64(__h, {j}), {BLOCK_BITS}) as int) & 63) & 1L) = 1L"
     inside = f"coalesce({' AND '.join(bit(j) for j in range(1, HASHES + 1))}, false)"

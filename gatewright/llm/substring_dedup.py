@@ -1,6 +1,6 @@
 """Substring deduplication by Rabin-Karp hashes of fixed-length word windows.
 
-Every window of `window` consecutive words is hashed (64-bit rolling hash).
+Every window of `window` consecutive words is hashed (rolling hashes of 64 and 24 bits).
 Windows are grouped by hash in Spark and a window is *repeated* if the same
 word sequence starts earlier: in a smaller doc_id, or in the same document at an
 earlier word.  Repeated windows of a document merge into maximal removal
@@ -9,13 +9,17 @@ intervals.  Judgement is on the input, never on what is left of it.
 Scale: a map task keeps only the first place of a hash in its chunk, so a
 passage found in a third of all documents reaches its bucket once per chunk, not
 once per document; later places in the chunk are known to be repeated and go
-straight to their document.  Buckets follow the shuffle partitions.
+straight to their document.  Buckets follow the shuffle partitions.  Only documents that
+lose something (and about one in a hundred more, by a Bloom filter of their ids) are shuffled
+with their texts to meet their intervals, as long as the filter has at most prune.MOST_BITS.
 
 Defined results: null text has no words; documents shorter than the window lose
 nothing; rows that share doc_id are copies of one document for the comparison
 (equal places tie and neither is earlier; all of them get the intervals);
-null doc_id counts as the smallest id.  Equality is that of 64-bit hashes
-(expected number of false pairs is n^2/2^65 for n windows).
+null doc_id counts as the smallest id (the smallest long stands for it and must not be
+an id); repeated rows each give a row; an empty table gives an empty one; other columns are
+not looked at.  Equality is that of 88-bit hashes: n windows have n^2/2^89 false pairs on
+average, 0.4 for the 1.5e13 windows of 100 TB.
 """
 
 from __future__ import annotations
@@ -28,10 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exchange import bucket_blobs, bucket_count, doc_bucket, expand, open_blob, squeeze
-from .textcore import NULL_ID, chunks, hash_words, trim, window_hashes
+from .prune import split_by_ids
+from .storage import written
+from .textcore import NULL_ID, chunks, hash_words, second_hashes, trim, window_hashes
 
 WINDOW = 20
 CHUNK_BYTES = 8 << 20
+#: Bytes of the second hash.
+SECOND = 3
 _BLOB = "hop int, b int, blob binary"
 
 
@@ -79,8 +87,9 @@ def _mapper(window: int, n: int, n_docs: int):
                 continue
             order = np.argsort(h, kind="stable")  # rows are sorted by id, so the first of equals is the earliest
             h, at = h[order], at[order]
+            h2 = second_hashes(words, at, window, 8 * SECOND)
             first = np.ones(len(h), bool)
-            first[1:] = h[1:] != h[:-1]
+            first[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
             row = np.searchsorted(rows, at, "right") - 1
             doc, start = ids[row], at - rows[row]
             if not first.all():
@@ -88,7 +97,7 @@ def _mapper(window: int, n: int, n_docs: int):
                 later = (doc > doc[lead]) | (doc == doc[lead]) & (start > start[lead])
                 yield from _rows(_place_blobs(doc[later], start[later], n_docs), _TYPES)
             # a tie with the first place shares its fate, which is told by (doc_id, start)
-            yield from _rows(((0, b, blob) for b, blob in bucket_blobs(h[first], at[first], n, _directory(ids, rows))), _TYPES)
+            yield from _rows(((0, b, blob) for b, blob in bucket_blobs(h[first], at[first], n, _directory(ids, rows), more=h2[first], more_width=SECOND)), _TYPES)
 
     return run
 
@@ -100,13 +109,14 @@ def _first_hop(n: int):
         if table["hop"][0].as_py() == 1:
             return table
         trim()
-        hs, docs, starts = [], [], []
+        hs, h2s, docs, starts = [], [], [], []
         for raw in table["blob"].to_pylist():
-            h, at, directory = open_blob(raw)
+            h, at, directory, h2 = open_blob(raw, SECOND)
             ids, rows = expand(directory)
             at = at.astype(np.int64)
             row = np.searchsorted(rows, at, "right") - 1
             hs.append(h)
+            h2s.append(h2.astype(np.uint32))
             docs.append(ids[row])
             starts.append((at - rows[row]).astype(np.int32))
         h = np.concatenate(hs)
@@ -117,11 +127,11 @@ def _first_hop(n: int):
         shared[1:] |= same
         shared[:-1] |= same
         pick, h = order[shared], h[shared]
-        doc, start = np.concatenate(docs)[pick], np.concatenate(starts)[pick]
-        order = np.lexsort((start, doc, h))
-        h, doc, start = h[order], doc[order], start[order]
+        h2, doc, start = np.concatenate(h2s)[pick], np.concatenate(docs)[pick], np.concatenate(starts)[pick]
+        order = np.lexsort((start, doc, h2, h))
+        h, h2, doc, start = h[order], h2[order], doc[order], start[order]
         lead = np.ones(len(h), bool)
-        lead[1:] = h[1:] != h[:-1]
+        lead[1:] = (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])
         lead = np.maximum.accumulate(np.where(lead, np.arange(len(h)), 0))
         later = (doc > doc[lead]) | (start > start[lead])
         out = list(_place_blobs(doc[later], start[later], n))
@@ -179,8 +189,11 @@ def _cut(batches):
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text) for every row of `docs` (needs doc_id, text)."""
     d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    found = repeated_intervals(d, window)
-    joined = d.withColumn("doc_key", F.coalesce("doc_id", F.lit(NULL_ID))).join(found, "doc_key", "left")
+    found = written(repeated_intervals(d, window))
+    far, near = split_by_ids(d.withColumn("doc_key", F.coalesce("doc_id", F.lit(NULL_ID))), found.select("doc_key"), "doc_key")
+    joined = near.join(found, "doc_key", "left")
+    if far is not None:
+        joined = joined.unionByName(far, allowMissingColumns=True)
     return joined.select("doc_id", "text", "starts", "ends").mapInArrow(_cut, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 

@@ -16,6 +16,7 @@ U64 = np.uint64
 #: Odd multipliers (any odd number is invertible modulo 2**64).
 BYTE_BASE = 0x9E3779B97F4A7C15
 WORD_BASE = 0xD6E8FEB86659FD93
+SECOND_BASE = 0xA0761D6478BD642F
 NULL_ID = -(1 << 63)
 #: Bytes hashed in one go; a longer document is one slice of its own.
 SLICE_BYTES = 1 << 20
@@ -60,7 +61,7 @@ class Powers:
         return self.up[:n], self.down[:n]
 
 
-_bytes, _words = Powers(BYTE_BASE), Powers(WORD_BASE)
+_bytes, _words, _second = Powers(BYTE_BASE), Powers(WORD_BASE), Powers(SECOND_BASE)
 
 
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,6 +140,15 @@ def window_hashes(words: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarr
     return mix((sums[at + k] - sums[at]) * down[at]), at
 
 
+def second_hashes(words: np.ndarray, at: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """`bits` bits of an independent rolling hash (another base over re-mixed words) of the k-word windows that start at `at`."""
+    n = len(words)
+    up, down = _second.get(n + 1)
+    sums = np.zeros(n + 1, U64)
+    np.cumsum(mix(words ^ U64(SECOND_BASE)) * up[:n], out=sums[1:])
+    return (mix((sums[at + k] - sums[at]) * down[at]) >> U64(64 - bits)).astype(np.uint32)
+
+
 def trim() -> None:
     """Give freed memory back to the system: Python workers are reused for many tasks and would keep it."""
     pa.default_memory_pool().release_unused()

@@ -513,3 +513,67 @@ def test_toxicity_edges(spark):
     assert len(got) == 93 and len({r.score for r in got if r.doc_id == 7}) == 1
     assert toxicity.score(docs.limit(0), model).count() == 0
     assert {r.score for r in toxicity.score(docs, toxicity.train(docs.limit(0), marks.limit(0))).collect()} == {0.0}
+
+
+# shared ------------------------------------------------------------ dropping by id, samples, scratch tables
+
+
+def test_without_grows_with_the_ids(spark):
+    from gatewright.llm import prune
+
+    n = (1 << 20) + 200_000
+    ids = spark.range(n).selectExpr("id * 3 x")
+    docs = spark.range(4 * n).selectExpr("id doc_id", "'t' text", "id __text").union(spark.sql("SELECT cast(null AS bigint), 'n', 0L"))
+    far, near = prune.split_by_ids(docs, ids)
+    asked = near.count()
+    assert far.count() + asked == 4 * n + 1
+    assert n <= asked <= n + 0.05 * 4 * n  # a few documents more than those to drop are looked at
+    kept = prune.without(docs, ids)
+    assert kept.columns == docs.columns and kept.count() == 3 * n + 1 and kept.where(f"doc_id % 3 = 0 AND doc_id < {3 * n}").count() == 0
+    gone = prune.without(docs.limit(50).union(docs.where("doc_id is null")), spark.sql("SELECT cast(null AS bigint) x"))
+    assert gone.count() == 50
+
+
+def test_without_beyond_the_filter(spark, monkeypatch):
+    from gatewright.llm import prune
+
+    monkeypatch.setattr(prune, "MOST_BITS", 1 << 10)
+    docs = spark.range(100).selectExpr("id doc_id", "id % 7 k")
+    assert sorted(r.doc_id for r in prune.without(docs, spark.range(0, 100, 2)).collect()) == list(range(1, 100, 2))
+
+
+def test_samples_are_bounded_in_rows(spark):
+    from gatewright.llm import sampling
+
+    docs = spark.createDataFrame([(7, f"t{i}") for i in range(3000)] + [(i, "u") for i in range(100, 130)] + [(None, "x")], "doc_id long, text string")
+    rows = sampling.bounded_sample(docs, 10, "text").collect()
+    assert len(rows) == 10 and len({r.doc_id for r in rows}) == 10
+    assert rows and sorted(rows) == sorted(sampling.bounded_sample(docs.repartition(5), 10, "text").collect())
+    assert sampling.bounded_sample(docs.limit(0), 10, "text").count() == 0
+
+
+def test_scratch_needs_a_shared_folder(spark, tmp_path):
+    from gatewright.llm import storage
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session())
+    table = storage.written(spark.range(5).toDF("x"))
+    path = table._gatewright_path.removeprefix("file://").removeprefix("file:")
+    import os
+
+    assert table.count() == 5 and os.path.isdir(path)
+    storage.discard(table, None, spark.range(1))
+    assert not os.path.exists(path)
