@@ -11,7 +11,7 @@ from . import chat, decontaminate, jaccard_join, language_id, media, mixing, pii
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by rows and bytes, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

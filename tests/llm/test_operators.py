@@ -577,3 +577,92 @@ def test_scratch_needs_a_shared_folder(spark, tmp_path):
     assert table.count() == 5 and os.path.isdir(path)
     storage.discard(table, None, spark.range(1))
     assert not os.path.exists(path)
+
+
+# 1, more ------------------------------------------------------------ formats
+
+
+def _ogg_page(last, body=b"x" * 20):
+    head = b"OggS\0" + bytes([4 if last else 0]) + b"\0" * 16 + b"\0\0\0\0" + bytes([1, len(body)])
+    crc = 0
+    for c in head + body:  # bit by bit
+        crc ^= c << 24
+        for _ in range(8):
+            crc = ((crc << 1) ^ 0x04C11DB7 if crc & 0x80000000 else crc << 1) & 0xFFFFFFFF
+    return head[:22] + struct.pack("<I", crc) + head[26:] + body
+
+
+def _bits_crc(part, poly, width):
+    crc = 0
+    for c in part:
+        crc ^= c << (width - 8)
+        for _ in range(8):
+            crc = ((crc << 1) ^ poly if crc >> (width - 1) else crc << 1) & ((1 << width) - 1)
+    return crc
+
+
+def _flac(frames, total):
+    info = struct.pack(">HH", 192, 192) + b"\0" * 6 + (44100 << 44 | 0 << 41 | 15 << 36 | total).to_bytes(8, "big") + b"\0" * 16
+    out = b"fLaC" + b"\x80\0\0\x22" + info
+    for k in range(frames):
+        head = b"\xff\xf8\x19\x08" + bytes([k])
+        frame = head + bytes([_bits_crc(head, 0x07, 8)]) + b"\x00" + bytes([17 * k & 255, 3]) * 5
+        out += frame + struct.pack(">H", _bits_crc(frame, 0x8005, 16))
+    return out
+
+
+def test_flac_ends_with_its_frames():
+    for frames, total in ((3, 3 * 192), (3, 0), (1, 192)):
+        flac, wav = _flac(frames, total), media.store_wav(b"\x80" * 64)
+        seen = media.sniff(flac + (wav if total else b""), "audio/wav")
+        assert (seen["type"], seen["length"]) == ("flac", len(flac))
+        assert [x[2] for x in seen["embedded"]] == (["wav"] if total else [])
+    broken = bytearray(_flac(3, 3 * 192))
+    broken[60] ^= 1
+    assert media.sniff(bytes(broken))["type"] is None
+
+
+def test_ogg_pages_are_checked():
+    ogg = _ogg_page(False) + _ogg_page(True)
+    assert media.sniff(b"--" + ogg + b"rest")["embedded"] == [(2, len(ogg), "ogg")]
+    broken = ogg[:-1] + b"y"
+    assert media.sniff(broken)["type"] is None
+
+
+def test_mp4_and_jpeg():
+    box = lambda tag, body: struct.pack(">I4s", 8 + len(body), tag) + body
+    mp4 = box(b"ftyp", b"isom") + box(b"free", b"") + box(b"mdat", b"12345")
+    assert media.sniff(mp4)["length"] == len(mp4) and media.sniff(b"ab" + mp4 + b"\xff")["embedded"] == [(2, len(mp4), "mp4")]
+    assert media.sniff(box(b"ftyp", b"isom") + box(b"free", b"1"))["type"] is None
+    jpeg = b"\xff\xd8\xff\xe0\0\x04ab\xff\xda\0\x03c12\xff\0 3\xff\xd9"
+    assert media.sniff(jpeg, "image/png")["length"] == len(jpeg) and media.sniff(jpeg[:-1])["type"] is None
+
+
+def test_many_heads_are_linear():
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        media.sniff(b"GIF89a" * n + b"!\xfe\x01a" * n)
+        media.sniff((b"GIF89a" + b"\0" * 7 + b"!\xfe\x06GIF89a\0") * n)
+        media.sniff((struct.pack(">I4s", 8, b"ftyp")) * n)
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 40 * max(took(1000), 0.01)
+
+
+def test_media_features_brute_force(spark, corpus):
+    import wave
+    from io import BytesIO
+
+    by = {i: t for i, t in corpus}
+    for r in media.features(media.store(make(spark, corpus).selectExpr("*", "1 media", "'x' declared"))).collect():
+        raw = (by[r.doc_id] or "").encode()
+        p = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        stored = media.store_wav(p)
+        with wave.open(BytesIO(stored)) as w:  # the standard library reads the samples back
+            assert w.readframes(w.getnframes()) == p and w.getsampwidth() == 1
+        rise = sum(y > x for x, y in zip(p, p[1:]))
+        assert (r.media_bytes, r.media_sha256, r.n_embedded) == (len(stored), hashlib.sha256(stored).hexdigest(), 0)
+        assert r.feature == f"wav:16000:min={min(p)}:max={max(p)}:sum={sum(p)}:rise={rise}"
