@@ -9,19 +9,28 @@ Labels of base spans are observed; loopy sum-product, run until the messages set
 decides the rest, so an unmatched repetition of known personal data gets its label too,
 however many there are, unless its shape or its neighbours speak more strongly against it.
 
-Potentials are learned from base labels in at most TRAIN_DOCS documents.  Documents
-without base spans keep no label and skip inference: without an observed label no
-message departs from the unary potentials, which favour "none" for tokens that the
+Potentials are fitted: the weights of shapes, of neighbouring labels and of both kinds of
+skip edges maximise the pseudo-likelihood of the labels in at most TRAIN_DOCS documents
+(each token given its neighbours, in the CONTEXTS most frequent contexts), under Gaussian
+priors: none favoured for shapes, 0 for neighbours, SKIP_PRIOR for skip edges.  Tokens
+without a base label that are tied to a labelled one are hidden there, neither data nor
+neighbours, as they are what is to be found.  That the patterns reject a token counts
+UNMATCHED against every label but none; no training data could tell this weight.
+
+Documents without base spans keep no label and skip inference: without an observed label
+no message departs from the unary potentials, which favour "none" for tokens that the
 patterns reject.
 
-Defined results: null text is empty; repeated rows give repeated results; long texts
-are scanned whole, in time linear in their length.
+Defined results: null text is empty; repeated rows give repeated results, each its own; a null
+doc_id stays null; long texts and long tokens are scanned whole, in time linear in their
+length; spans that begin together are ordered as the kinds are listed; an empty table gives an
+empty one (and a model that adds what repeats, by the priors); other columns are not looked
+at by `find`, whatever their names, and stay as they are in `redact`.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
 from collections import Counter
 
@@ -33,8 +42,9 @@ from .sampling import bounded_sample
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-TRAIN_DOCS = 4000
-SHAPES = 2000
+TRAIN_DOCS, CONTEXTS = 4000, 50_000
+#: Prior mean of the weight of a skip edge, variance of all weights, and what a rejected token loses.
+SKIP_PRIOR, VARIANCE, UNMATCHED = 2.0, 4.0, 1.5
 #: Message passing ends when no message moves by more than SETTLED; SWEEPS only ends graphs that swing forever.
 SWEEPS, SETTLED = 1000, 1e-4
 
@@ -89,8 +99,10 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _shape(core: str) -> str:
-    s = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", core[:64]))
-    return re.sub(r"(.)\1{3,}", r"\1\1\1+", s)[:24]
+    """The whole token with letters and digits by kind and longer runs shortened; a digest where that is still long."""
+    s = re.sub(r"[0-9]", "9", re.sub(r"[^\W\d_]", "a", core))
+    s = re.sub(r"(.)\1{3,}", r"\1\1\1+", s)
+    return s if len(s) <= 32 else hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=12).hexdigest()
 
 
 def tokens(text: str, spans):
@@ -109,7 +121,10 @@ def tokens(text: str, spans):
             continue
         while k < len(spans) and spans[k][1] <= lo:
             k += 1
-        label = next((s[2] for s in spans[k : k + 8] if s[0] < hi and s[1] > lo), None)
+        j = k
+        while j < len(spans) and spans[j][0] < hi and spans[j][1] <= lo:
+            j += 1
+        label = spans[j][2] if j < len(spans) and spans[j][0] < hi else None
         out.append((lo, hi, text[lo:hi], label, n))
     return out
 
@@ -169,20 +184,35 @@ def ties(toks, skip: dict) -> tuple[np.ndarray, list[tuple[int, int, str]]]:
 
 
 def _observe(text: str) -> Counter:
-    """Sufficient statistics of a document for the potentials."""
+    """Contexts of a document's tokens: (shape, labels around it and its own) with their number.
+
+    The labels are coded as one string: the neighbours before and after (5: none or hidden), the linked tokens by label
+    (up to 3 of each) over equal texts, then over equal digits, and the token's own.
+    """
     spans = base_spans(text)
     seen: Counter = Counter()
     if not spans:
         return seen
     toks = tokens(text, spans)
-    for t in toks:
-        seen["shape", _shape(t[2]), t[3] or "none"] += 1
-    for a, b in zip(toks, toks[1:]):
-        if b[4] == a[4] + 1:
-            seen["next", a[3] or "none", b[3] or "none"] += 1
-    for i, j, how in skip_edges(toks):
-        if toks[i][3] or toks[j][3]:
-            seen["skip", how, "agree" if toks[i][3] == toks[j][3] else "differ"] += 1
+    links = skip_edges(toks)
+    own = [LABELS.index(t[3]) if t[3] else 0 for t in toks]
+    tied = {x for i, j, _ in links for x, y in ((i, j), (j, i)) if toks[y][3] and not toks[x][3]}
+    more = True
+    while more:  # a rejected token tied to a hidden one is hidden too
+        found = {x for i, j, _ in links for x, y in ((i, j), (j, i)) if y in tied and not toks[x][3]} - tied
+        tied |= found
+        more = bool(found)
+    near = {how: np.zeros((len(toks), 5), int) for how in ("same", "alike")}
+    for i, j, how in links:
+        for x, y in ((i, j), (j, i)):
+            if y not in tied:
+                near[how][x, own[y]] += 1
+    for i, t in enumerate(toks):
+        if i not in tied:
+            prev = own[i - 1] if i and t[4] == toks[i - 1][4] + 1 and i - 1 not in tied else 5
+            after = own[i + 1] if i + 1 < len(toks) and toks[i + 1][4] == t[4] + 1 and i + 1 not in tied else 5
+            around = "".join(str(min(3, n)) for how in ("same", "alike") for n in near[how][i])
+            seen[_shape(t[2]), f"{prev}{after}{around}{own[i]}"] += 1
     return seen
 
 
@@ -192,24 +222,42 @@ def _count(batches):
         for text in batch.column("text").to_pylist():
             seen.update(_observe(text or ""))
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*seen)] + [pa.array(list(seen.values()), pa.int64())], names=["what", "x", "y", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*seen)] + [pa.array(list(seen.values()), pa.int64())], names=["shape", "around", "n"])
+
+
+def fit(contexts: list[tuple[str, str, int]], steps: int = 400) -> dict:
+    """Maximum of the penalised pseudo-likelihood, by gradient steps with a scale of its own for each weight (Adam)."""
+    shapes = sorted({c[0] for c in contexts})
+    at = {x: i for i, x in enumerate(shapes)}
+    row = np.array([at[c[0]] for c in contexts], int)
+    code = np.array([[int(x) for x in c[1]] for c in contexts], int).reshape(-1, 13)
+    n, own = np.array([c[2] for c in contexts], float), np.eye(5)[code[:, 12]] if contexts else np.zeros((0, 5))
+    prev, after, linked = np.eye(6)[code[:, 0]][:, :5], np.eye(6)[code[:, 1]][:, :5], (code[:, 2:7].astype(float), code[:, 7:12].astype(float))
+    start = np.array([0.0, -1.0, -1.0, -1.0, -1.0])
+    w = [np.tile(start, (len(shapes), 1)), np.zeros((5, 5)), np.full(2, SKIP_PRIOR)]
+    mean = [x.copy() for x in w]
+    first, second = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
+    for t in range(1, steps + 1 if contexts else 1):
+        score = w[0][row] + prev @ w[1] + after @ w[1].T + w[2][0] * linked[0] + w[2][1] * linked[1]
+        p = np.exp(score - score.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        miss = n[:, None] * (own - p)
+        unary = np.zeros_like(w[0])
+        np.add.at(unary, row, miss)
+        slope = [unary, prev.T @ miss + miss.T @ after, np.array([(miss * x).sum() for x in linked])]
+        for k in range(3):
+            g = slope[k] - (w[k] - mean[k]) / VARIANCE
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            w[k] += 0.1 * (1 - t / (steps + 1)) * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-9)
+    return {"shapes": dict(zip(shapes, w[0])), "rare": start, "step": w[1], "skip": {"same": float(w[2][0]), "alike": float(w[2][1])}}
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> dict:
-    """Potentials from at most `most` documents; at most SHAPES shapes (the most frequent) are kept."""
-    counts = bounded_sample(docs, most, "text").select("text").mapInArrow(_count, "what string, x string, y string, n bigint").groupBy("what", "x", "y").sum("n")
-    rows = counts.where("what != 'shape'").collect() + counts.where("what = 'shape'").orderBy("sum(n)", "x", "y", ascending=[False, True, True]).limit(SHAPES).collect()
-    n = {(r[0], r[1], r[2]): r[3] for r in rows}
-    shapes: dict[str, np.ndarray] = {}
-    for (what, x, y), c in n.items():
-        if what == "shape":
-            shapes.setdefault(x, np.full(5, 0.5))[LABELS.index(y)] += c
-    total = sum(shapes.values(), np.full(5, 0.5))
-    step = np.array([[n.get(("next", a, b), 0) + 1.0 for b in LABELS] for a in LABELS])
-    lift = np.log(step / step.sum(1, keepdims=True)) - np.log(step.sum(0) / step.sum())
-    # With observed labels "differ" means an occurrence that the patterns missed; the prior says that repeats agree.
-    skip = {how: max(2.0, math.log((n.get(("skip", how, "agree"), 0) + 20) / (n.get(("skip", how, "differ"), 0) + 1))) for how in ("same", "alike")}
-    return {"shapes": {k: np.log(v / v.sum()) for k, v in shapes.items()}, "rare": np.log(total / total.sum()), "step": np.clip(lift, -2, 2), "skip": skip}
+    """Potentials fitted on at most `most` documents and the CONTEXTS most frequent contexts of their tokens."""
+    counts = bounded_sample(docs, most, "text").select("text").mapInArrow(_count, "shape string, around string, n bigint").groupBy("shape", "around").agg({"n": "sum"})
+    rows = counts.orderBy("sum(n)", "shape", "around", ascending=[False, True, True]).limit(CONTEXTS).collect()
+    return fit([tuple(r) for r in rows])
 
 
 def infer(toks, model: dict) -> list[str | None]:
@@ -227,7 +275,7 @@ def infer(toks, model: dict) -> list[str | None]:
         else:
             seen = model["shapes"].get(_shape(core), model["rare"])
             unary[i] = seen - seen.max()
-            unary[i, 1:] = np.minimum(unary[i, 1:], -1.5)  # the patterns did not match here
+            unary[i, 1:] = np.minimum(unary[i, 1:], -UNMATCHED)  # the patterns did not match here
             unary[i, 0] = 0.0
             unary[i] += pull[i]
     if not edges:

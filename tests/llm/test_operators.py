@@ -666,3 +666,64 @@ def test_media_features_brute_force(spark, corpus):
         rise = sum(y > x for x, y in zip(p, p[1:]))
         assert (r.media_bytes, r.media_sha256, r.n_embedded) == (len(stored), hashlib.sha256(stored).hexdigest(), 0)
         assert r.feature == f"wav:16000:min={min(p)}:max={max(p)}:sum={sum(p)}:rise={rise}"
+
+
+# 5, more ------------------------------------------------------------ messages
+
+
+def _marginals(toks, model):
+    """Exact labels by enumeration of all labellings of the tokens without one."""
+    import itertools
+
+    pull, links = pii.ties(toks, model["skip"])
+    free = [i for i, t in enumerate(toks) if not t[3]]
+    labels = [pii.LABELS.index(t[3]) if t[3] else 0 for t in toks]
+    mass = np.zeros((len(toks), 5))
+    for tried in itertools.product(range(5), repeat=len(free)):
+        y = list(labels)
+        for i, v in zip(free, tried):
+            y[i] = v
+        e = sum(pull[i, y[i]] for i in free)
+        for i in free:
+            seen = model["shapes"].get(pii._shape(toks[i][2]), model["rare"])
+            seen = seen - seen.max()
+            e += min(seen[y[i]], -pii.UNMATCHED) if y[i] else 0.0
+        e += sum(model["skip"][how] for i, j, how in links if y[i] == y[j])
+        e += sum(model["step"][y[i], y[i + 1]] for i in range(len(toks) - 1) if toks[i + 1][4] == toks[i][4] + 1)
+        for i in free:
+            mass[i, y[i]] += np.exp(e)
+    return [None if t[3] or not mass[i].argmax() else pii.LABELS[mass[i].argmax()] for i, t in enumerate(toks)]
+
+
+def test_messages_agree_with_enumeration():
+    random.seed(17)
+    pieces = ["+1 (743) 555-3824", "555-3824", "5553824", "a@b.com", "4111 1111 1111 1111", "4111111111111112", "10.1.2.3", "10-1-2-3", "777-1111x", "no", "id 12"]
+    seen = 0
+    for k in range(400):
+        rng = np.random.default_rng(k)
+        model = {"shapes": {}, "rare": rng.normal(0, 1, 5), "step": rng.normal(0, 0.5, (5, 5)), "skip": {"same": 1.9, "alike": 1.4}}
+        text = " ".join(random.choice(pieces) for _ in range(7))
+        toks = pii.tokens(text, pii.base_spans(text))
+        free = sum(not t[3] for t in toks)
+        if toks and free <= 5:
+            got = pii.infer(toks, model)
+            if pii.ties(toks, model["skip"])[0].any():
+                assert got == _marginals(toks, model), text
+                seen += 1
+    assert seen > 20
+
+
+def test_fitted_weights_follow_the_labels():
+    none, same = "5" * 2 + "0" * 10, "5" * 2 + "00003" + "00000"
+    model = pii.fit([("999-9999", none + "0", 400), ("999-9999", same + "4", 300), ("aaa", none + "0", 50)])
+    assert model["skip"]["same"] > pii.SKIP_PRIOR and model["shapes"]["999-9999"][4] > model["shapes"]["aaa"][4]
+    apart = pii.fit([("999-9999", same + "0", 300)])
+    assert apart["skip"]["same"] < pii.SKIP_PRIOR
+    assert pii.fit([])["skip"] == {"same": pii.SKIP_PRIOR, "alike": pii.SKIP_PRIOR}
+
+
+def test_long_tokens_are_read_whole():
+    assert pii._shape("9" * 20 + "x" * 4000 + "-1") != pii._shape("9" * 20 + "x" * 4000 + "-x") and pii._shape("a-9" * 50 + "b") != pii._shape("a-9" * 50 + "9")
+    text = "x" * 10 + ",".join(f"10.1.2.{i}" for i in range(30))
+    toks = pii.tokens(text, pii.base_spans(text))
+    assert len(toks) == 1 and toks[0][3] == "ip"
