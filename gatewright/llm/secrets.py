@@ -6,8 +6,11 @@ from at most TRAIN_DOCS documents.  A token is a further secret if its log-likel
 ratio per character exceeds a threshold calibrated on the same samples (a false alarm
 costs FALSE_COST times a miss).  Without a secret in the sample nothing is added.
 
-Defined results: null text is empty; repeated rows give repeated results; tokens are
-scored whole.
+Defined results: null text is empty; repeated rows give repeated results, each its own; a null
+doc_id stays null; tokens of SHORTEST and more characters, points inside them included, are
+scored whole, however long; a ratio equal to the threshold adds nothing; spans that begin
+together are ordered as the kinds are listed; an empty table gives an empty one, and a model
+that adds nothing; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,7 +28,9 @@ from .sampling import bounded_sample
 
 KINDS = ("assign", "access", "hex", "random")
 TRAIN_DOCS = 4000
-SHORTEST = 16
+#: Least length of a token that is scored; a point may stand inside one.
+SHORTEST = 12
+SHRINK = 8
 #: Cost of taking an ordinary token for a secret, against missing a secret (both as shares of the sample).
 FALSE_COST = 50
 BINS, LOW, HIGH = 400, -4.0, 4.0
@@ -34,7 +39,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _HINTS = ("passw", "secret", "token", "api")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % SHORTEST)
 
 # The alphabet of the models; anything else is one further symbol.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-."
@@ -59,10 +64,15 @@ def _tokens(text: str, spans):
     """(start, end, overlaps a base span) of the tokens that the models score."""
     k, reach = 0, 0
     for m in _TOKEN.finditer(text):
-        while k < len(spans) and spans[k][0] < m.end():
+        token = m[0].rstrip(".")
+        lo = m.start() + len(token) - len(token := token.lstrip("."))
+        hi = lo + len(token)
+        if len(token) < SHORTEST:
+            continue
+        while k < len(spans) and spans[k][0] < hi:
             reach = max(reach, spans[k][1])
             k += 1
-        yield m.start(), m.end(), reach > m.start()
+        yield lo, hi, reach > lo
 
 
 def _codes(token: str) -> np.ndarray:
@@ -93,9 +103,9 @@ def _pairs(batches):
 
 
 def ratio(token: str, table: np.ndarray) -> float:
-    """Log-likelihood ratio per character, random against ordinary."""
+    """Log-likelihood ratio per character, random against ordinary, shrunk as if SHRINK characters without evidence stood before."""
     c = _codes(token)
-    return float(table[c[:-1], c[1:]].mean()) if len(c) > 1 else 0.0
+    return float(table[c[:-1], c[1:]].sum() / (len(c) - 1 + SHRINK)) if len(c) > 1 else 0.0
 
 
 def _histogram(table):

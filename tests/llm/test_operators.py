@@ -727,3 +727,50 @@ def test_long_tokens_are_read_whole():
     text = "x" * 10 + ",".join(f"10.1.2.{i}" for i in range(30))
     toks = pii.tokens(text, pii.base_spans(text))
     assert len(toks) == 1 and toks[0][3] == "ip"
+
+
+# 10, more ----------------------------------------------------------- models
+
+
+def test_ratios_brute_force(spark):
+    random.seed(23)
+    noise = lambda n: "".join(random.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=n))
+    name = lambda: "_".join(random.choice(["get", "user", "config", "value", "handler", "request"]) for _ in range(4))
+    rows = [(i, f"{name()} token = {noise(24)} {name()}.{name()} ..{noise(3)}") for i in range(80)] + [(500, f"key {noise(13)} dot {noise(8)}.{noise(8)} end. {name()}")]
+    model = secrets.train(make(spark, rows[:-1]))
+    pairs = np.zeros((2, secrets.SYMBOLS, secrets.SYMBOLS))
+    code = lambda c: secrets.ALPHABET.find(c) if c in secrets.ALPHABET else len(secrets.ALPHABET)
+    token = re.compile(r"[A-Za-z0-9+/_=.-]+")
+    for _, t in rows[:-1]:
+        spans = [(m.start(), m.end(), m[2]) for m in re.finditer(_SECRET["assign"], t) if len(m[2]) >= 12]
+        assert not re.search("AKIA|[0-9a-f]{16}", t)
+        values = [(1, v) for _, _, v in spans]
+        for m in token.finditer(t):
+            w = m[0].strip(".")
+            at = m.start() + m[0].index(w) if w else 0
+            if len(w) >= 12 and not any(lo < at + len(w) and at < hi for lo, hi, _ in spans):
+                values.append((0, w))
+        for secret, v in values:
+            for a, b in zip(v, v[1:]):
+                pairs[secret, code(a), code(b)] += 1
+    plain, secret = pairs
+    unigram = (plain.sum(0) + 0.5) / (plain.sum() + 0.5 * secrets.SYMBOLS)
+    want = np.log((secret + 50 / secrets.SYMBOLS) / (secret.sum(1, keepdims=True) + 50)) - np.log((plain + 500 * unigram) / (plain.sum(1, keepdims=True) + 500))
+    assert np.allclose(model["table"], want)
+    got = {r.doc_id: r.spans.split(",") for r in secrets.find(make(spark, rows), model).collect()}
+    t = rows[-1][1]
+    for m in token.finditer(t):
+        w = m[0].strip(".")
+        score = sum(want[code(a), code(b)] for a, b in zip(w, w[1:])) / (len(w) - 1 + secrets.SHRINK) if len(w) >= 12 else -9
+        assert (f"random:{m.start()}:{m.start() + len(w)}" in got[500]) == (score > model["threshold"])
+    assert sum(x.startswith("random") for x in got[500]) == 2
+
+
+def test_secret_edges(spark):
+    docs = make(spark, [(1, "token = abcDEF123456789"), (1, "token = abcDEF123456789"), (2, None), (None, ""), (3, "." * 5000 + "a" * 12)])
+    clash = docs.selectExpr("*", "'x' spans", "1 n_hex")
+    model = secrets.train(clash)
+    rows = secrets.find(clash, model).collect()
+    assert len(rows) == 5 and sum(r.n_assign for r in rows) == 2 and len({tuple(r) for r in rows if r.doc_id == 1}) == 1
+    assert secrets.find(docs.limit(0), secrets.train(docs.limit(0))).count() == 0
+    secrets.all_spans("." * 300_000, model)
