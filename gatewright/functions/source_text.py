@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """(file_idx, line_no, text) of all lines, numbered from 1; null text has none."""
-    parts = F.posexplode(F.split("text", "\r\n|\r|\n"))
+    """(file_idx, line_no, text) of all lines, numbered from 1 and ended by line feeds only, as in the lexer; null text has none."""
+    parts = F.posexplode(F.split("text", "\n"))
     return files.select("file_idx", parts.alias("at", "text")).select("file_idx", (F.col("at") + 1).alias("line_no"), "text")
 
 

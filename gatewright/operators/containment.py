@@ -1,33 +1,67 @@
-"""Declarative definitions of the inherited columns, as containment joins on the node table.
+"""Definitions of the inherited columns from the node table alone, by containment of intervals.
 
-The join key is the file and the parent module, so a generated netlist of many modules
-spreads; the range condition is a residual filter of an equi-join.
+Nodes of a file nest, so the innermost of a set of outer nodes that holds a node is the top of a stack when both are read
+in pre-order.  Files are the groups: one shuffle of the few columns and rows that matter, then one linear pass over a file,
+which the parser holds in memory as a whole too; no pairs are formed.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.verilog_parser import ASSIGNMENT_KINDS, COMPOUND_KINDS
 
+#: Columns of the node table that are read here.
+COLUMNS = ["file_idx", "pre", "last", "parent", "kind", "cls", "role", "line", "col", "name"]
+
+
+def _innermost(rows: list[dict]):
+    """(inner row, innermost outer row that holds it or None), for rows of one file in pre-order; an outer row holds itself."""
+    open_ = []
+    for r in rows:
+        while open_ and open_[-1]["last"] < r["pre"]:
+            open_.pop()
+        if r["is_outer"]:
+            open_.append(r)
+        if r["is_inner"]:
+            yield r, open_[-1] if open_ else None
+
+
+def _in_order(table: pa.Table) -> list[dict]:
+    return table.sort_by("pre").to_pylist()
+
 
 def nearest_ancestor(nodes: DataFrame, inner: Column, outer: Column) -> DataFrame:
-    """(file_idx, pre, kind, anc_pre, anc_kind, anc_line): innermost `outer` node that holds each `inner` node; inner nodes without one are left out."""
-    below = nodes.where(inner).select("file_idx", "scope_pre", "pre", "kind", "line", "col")
-    above = nodes.where(outer).select("file_idx", "scope_pre", F.col("pre").alias("a_pre"), "last", "depth", F.col("kind").alias("a_kind"), F.col("line").alias("a_line"))
-    both = below.join(above, ["file_idx", "scope_pre"]).where("a_pre <= pre AND pre <= last")
-    best = both.groupBy("file_idx", "pre", "kind", "line", "col").agg(F.max_by(F.struct("a_pre", "a_kind", "a_line"), "depth").alias("a"))
-    return best.select("file_idx", "pre", "kind", "line", "col", F.col("a.a_pre").alias("anc_pre"), F.col("a.a_kind").alias("anc_kind"), F.col("a.a_line").alias("anc_line"))
+    """(file_idx, pre, kind, line, col, anc_pre, anc_kind, anc_line): innermost `outer` node that holds each `inner` node; inner nodes without one are left out."""
+    rows = nodes.select("file_idx", "pre", "last", "kind", "line", "col", inner.alias("is_inner"), outer.alias("is_outer")).where("is_inner OR is_outer")
+
+    def run(table: pa.Table) -> pa.Table:
+        found = [(r["file_idx"], r["pre"], r["kind"], r["line"], r["col"], a["pre"], a["kind"], a["line"]) for r, a in _innermost(_in_order(table)) if a]
+        types = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+        return pa.table({n: pa.array([x[i] for x in found], t) for i, (n, t) in enumerate(zip(("file_idx", "pre", "kind", "line", "col", "anc_pre", "anc_kind", "anc_line"), types))})
+
+    return rows.groupBy("file_idx").applyInArrow(run, "file_idx int, pre int, kind string, line int, col int, anc_pre int, anc_kind string, anc_line int")
+
+
+_STEPS = ("UnaryPreincrementExpression", "UnaryPredecrementExpression", "PostincrementExpression", "PostdecrementExpression")
 
 
 def access_mode(nodes: DataFrame) -> DataFrame:
     """(file_idx, pre, name, line, col, read, write) of identifiers, by the innermost written side that holds them."""
-    compound = F.col("p_kind").isin(*sorted(COMPOUND_KINDS)) | (F.col("role") == "operand")
-    parents = nodes.select("file_idx", F.col("pre").alias("parent"), F.col("kind").alias("p_kind"))
-    steps = ["UnaryPreincrementExpression", "UnaryPredecrementExpression", "PostincrementExpression", "PostdecrementExpression"]
-    sides = nodes.where("role IN ('left', 'operand')").join(parents, ["file_idx", "parent"]).where(F.col("p_kind").isin(*sorted(ASSIGNMENT_KINDS)) & (F.col("role") == "left") | F.col("p_kind").isin(*steps) & (F.col("role") == "operand"))
-    sides = sides.select("file_idx", "scope_pre", F.col("pre").alias("s_pre"), F.col("last").alias("s_last"), F.col("depth").alias("s_depth"), compound.alias("both"))
-    ids = nodes.where("cls IN ('IdentifierName', 'IdentifierSelectName') AND name IS NOT NULL").select("file_idx", "scope_pre", "pre", "name", "line", "col")
-    held = ids.join(sides, ["file_idx", "scope_pre"]).where("s_pre <= pre AND pre <= s_last").groupBy("file_idx", "pre").agg(F.max_by("both", "s_depth").alias("both"))
-    return ids.join(held, ["file_idx", "pre"], "left").select("file_idx", "pre", "name", "line", "col", F.coalesce("both", F.lit(True)).alias("read"), F.col("both").isNotNull().alias("write"))
+    names = F.col("cls").isin("IdentifierName", "IdentifierSelectName") & F.col("name").isNotNull()
+    writers = F.col("kind").isin(*sorted(ASSIGNMENT_KINDS), *_STEPS)
+    rows = nodes.select("file_idx", "pre", "last", "parent", "kind", "role", "line", "col", "name", names.alias("is_inner"), writers.alias("writes")).where("is_inner OR writes OR role IN ('left', 'operand')")
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = _in_order(table)
+        kinds = {r["pre"]: r["kind"] for r in rows if r["writes"]}
+        for r in rows:
+            up = kinds.get(r["parent"])
+            r["is_outer"] = up in ASSIGNMENT_KINDS and r["role"] == "left" or up in _STEPS and r["role"] == "operand"
+        found = [(r["file_idx"], r["pre"], r["name"], r["line"], r["col"], a is None or a["role"] == "operand" or kinds[a["parent"]] in COMPOUND_KINDS, a is not None) for r, a in _innermost(rows)]
+        types = (pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+        return pa.table({n: pa.array([x[i] for x in found], t) for i, (n, t) in enumerate(zip(("file_idx", "pre", "name", "line", "col", "read", "write"), types))})
+
+    return rows.groupBy("file_idx").applyInArrow(run, "file_idx int, pre int, name string, line int, col int, read boolean, write boolean")

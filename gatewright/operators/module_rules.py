@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def duplicate_module(scopes: DataFrame) -> DataFrame:
     """Each definition after the first of its name (columns file_idx and pre give the order)."""
-    own = W.partitionBy("name").orderBy("file_idx", "pre")
-    rows = scopes.withColumn("n", F.row_number().over(own))
-    for c in ("file", "file_idx", "pre"):
-        rows = rows.withColumn(f"first_{c}", F.first(c).over(own))
-    message = F.format_string("Duplicate module '%s' (first defined in %s)", "name", F.coalesce("first_file", F.lit("None")))
-    return rows.where("n > 1").select("name", F.struct("first_file_idx", "first_pre").alias("group_seq"), F.struct("file_idx", "pre").alias("own_seq"), "line", "col", message.alias("message"), "file")
+    own = F.struct("file_idx", "pre", "file")
+    first = scopes.groupBy("name").agg(F.min(own).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    rows = scopes.join(first, "name").where(F.struct("file_idx", "pre") > F.struct("lead.file_idx", "lead.pre"))
+    message = F.format_string("Duplicate module '%s' (first defined in %s)", "name", F.coalesce("lead.file", F.lit("None")))
+    return rows.select("name", F.struct(F.col("lead.file_idx").alias("first_file_idx"), F.col("lead.pre").alias("first_pre")).alias("group_seq"), F.struct("file_idx", "pre").alias("own_seq"), "line", "col", message.alias("message"), "file")
 
 
 def undefined_module(refs: DataFrame, scopes: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -31,10 +30,11 @@ def no_multiple_drivers(symbols: DataFrame, bound: DataFrame) -> DataFrame:
     key = [F.col("bound_scope").alias("scope_id"), "name"]
     drives = bound.where("ev = 'use' AND write AND driver_id IS NOT NULL")
     first = drives.groupBy(*key, "driver_id").agg(F.min(F.struct("seq", "line", "col", "file", "driver_line")).alias("p"))
-    two = first.groupBy("scope_id", "name").agg(F.slice(F.array_sort(F.collect_list("p")), 1, 2).alias("ps")).where(F.size("ps") == 2)
+    # the least two places by a fold that carries two, however many drivers there are
+    lead = first.groupBy("scope_id", "name").agg(F.min("p").alias("lead"))
+    rest = first.join(lead, ["scope_id", "name"]).where("p.seq > lead.seq").groupBy("scope_id", "name").agg(F.min("p").alias("place"), F.first("lead").alias("lead"))
     declared = symbols.where("kind = 'variable' AND n_decl > 0").select("scope_id", "name", "birth_seq")
-    rows = two.join(declared, ["scope_id", "name"]).withColumn("place", F.col("ps")[1])
-    return _at(rows, "place", F.format_string("Variable '%s' is written from multiple procedural blocks (first driver at line %d)", "name", F.col("ps")[0]["driver_line"]))
+    return _at(rest.join(declared, ["scope_id", "name"]), "place", F.format_string("Variable '%s' is written from multiple procedural blocks (first driver at line %d)", "name", F.col("lead.driver_line")))
 
 
 def no_undriven_signal(symbols: DataFrame, bound: DataFrame) -> DataFrame:
@@ -43,11 +43,11 @@ def no_undriven_signal(symbols: DataFrame, bound: DataFrame) -> DataFrame:
 
 def redeclared_variable(symbols: DataFrame, bound: DataFrame) -> DataFrame:
     """One row per declaration after the first, of any kind."""
-    own = W.partitionBy("scope_id", "name").orderBy("seq")
-    decls = bound.where("ev = 'decl'").select(F.col("bound_scope").alias("scope_id"), "name", "seq", "line", "col", "file")
-    ranked = decls.withColumn("n", F.row_number().over(own)).withColumn("first_line", F.first("line").over(own)).where("n > 1")
-    rows = ranked.withColumn("place", F.struct("seq", "line", "col", "file")).join(symbols.select("scope_id", "name", "birth_seq"), ["scope_id", "name"])
-    return _at(rows, "place", F.format_string("Redeclared symbol '%s' (first declared at line %d)", "name", "first_line"))
+    decls = bound.where("ev = 'decl'").select(F.col("bound_scope").alias("scope_id"), "name", F.struct("seq", "line", "col", "file").alias("place"))
+    # the symbol has its first declaration already, so no name is sorted in one task
+    known = symbols.where("n_decl > 1").select("scope_id", "name", "birth_seq", "first_decl")
+    rows = decls.join(known, ["scope_id", "name"]).where("place.seq > first_decl.seq")
+    return _at(rows, "place", F.format_string("Redeclared symbol '%s' (first declared at line %d)", "name", F.col("first_decl.line")))
 
 
 def read_before_write(symbols: DataFrame, bound: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as symbol events.
 
     click declares a variable, signup an instance; purchase reads, view writes, anything else reads and writes.
-    Writes are driven by one of three processes (none for k % 4 = 3); a use of user u comes from a file
+    Writes are driven by one of three processes, by the event's number (none for event_id % 4 = 3), so a name has several; a use of user u comes from a file
     with `default_nettype none if u % 3 = 0.
     """
     k = F.get_json_object("props", "$.k").cast("long")
@@ -35,7 +35,7 @@ def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     use = decl.isNull()
     read = use & (F.col("event_type") != "view")
     write = use & (F.col("event_type") != "purchase")
-    driver = F.when(write & (k % 4 < 3), k % 4)
+    driver = F.when(write & (F.col("event_id") % 4 < 3), F.col("event_id") % 4)
     seq = F.struct(F.lit(0).alias("file_idx"), F.col("event_id").cast("int").alias("pre"), F.lit(0).alias("sub"))
     scope = F.when(user % GLOBAL_EVERY == 0, facts.GLOBAL).otherwise(F.format_string("u%06d", user))
     return table(spark, sf_dir, "events").select(
@@ -47,15 +47,12 @@ def fact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as module definitions: name by key modulo, two files by parity.
-
-    Not whole: keys divisible by 3 are left out, here and in `_MODS` of the SQL, and both have to change together.
-    """
+    """All customers as module definitions: name by key modulo, two files by parity."""
     key = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
         F.format_string("c%06d", key).alias("scope_id"), F.lit("module").alias("kind"), F.concat(F.lit("m"), (key * 7 % MODULES).cast("string")).alias("name"), F.concat(F.lit("f"), (key % 2).cast("string"), F.lit(".v")).alias("file"),
         (key + 1).cast("int").alias("line"), F.lit(1).alias("col"), F.lit(facts.GLOBAL).alias("parent_id"), (key % 2).cast("int").alias("file_idx"), key.cast("int").alias("pre"),
-    ).where(key % 3 != 0)
+    )
 
 
 def fact_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +131,8 @@ def _quote(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def text_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_nodes(spark: SparkSession, sf_dir: str, columns: list[str] | None = None, kinds: frozenset | None = None) -> DataFrame:
     files = text_files(spark, sf_dir)
     # rendering is a scan; parsing is the work, so it is spread over the cores
     n = max(1, min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return parse_files(files.repartition(n))
+    return parse_files(files.repartition(n), columns, kinds)

@@ -76,7 +76,7 @@ def _ids() -> str:
 # ---- fact bridge
 _EV = """ev AS (
   SELECT event_id AS seq, CASE WHEN user_id % 10 = 0 THEN 'global' ELSE 'u' || lpad(CAST(user_id AS VARCHAR), 6, '0') END AS scope_id,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, user_id
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, user_id, event_id
   FROM events),
 fact AS (
   SELECT *, 's' || (k % 40) AS name, event_type IN ('click', 'signup') AS is_decl,
@@ -110,7 +110,7 @@ _SYMBOL_FACT = {
     "UNUSED_VARIABLE": _at("first_decl", "'Unused variable ''' || s.name || ''''", "kind = 'variable' AND n_use = 0"),
     "UNDECLARED_VARIABLE": _at("first_use", "'Undeclared variable ''' || s.name || ''''", "NOT is_implicit AND n_decl = 0"),
     "NO_IMPLICIT_NET": _at("first_use", "'Implicit net ''' || s.name || ''' is not allowed'", "is_implicit"),
-    "NO_MULTIPLE_DRIVERS": f"""WITH {_EV}, d AS (SELECT bs, name, k % 4 AS drv, min(seq) AS seq FROM bound WHERE wr AND k % 4 < 3 GROUP BY bs, name, k % 4),
+    "NO_MULTIPLE_DRIVERS": f"""WITH {_EV}, d AS (SELECT bs, name, event_id % 4 AS drv, min(seq) AS seq FROM bound WHERE wr AND event_id % 4 < 3 GROUP BY bs, name, event_id % 4),
       r AS (SELECT *, row_number() OVER (PARTITION BY bs, name ORDER BY seq) AS n, first_value(drv) OVER (PARTITION BY bs, name ORDER BY seq) AS d1 FROM d)
       SELECT r.bs AS scope_id, r.name AS name, CAST(r.seq + 1 AS INTEGER) AS line, CAST(p.k + 1 AS INTEGER) AS col, 'Variable ''' || r.name || ''' is written from multiple procedural blocks (first driver at line ' || (d1 + 1) || ')' AS message
       FROM r JOIN fact p ON p.seq = r.seq JOIN s ON s.bs = r.bs AND s.name = r.name WHERE n = 2 AND s.kind = 'variable' AND s.n_decl > 0""",
@@ -118,7 +118,7 @@ _SYMBOL_FACT = {
     "REDECLARED_VARIABLE": f"WITH {_EV} SELECT bs AS scope_id, bound.name AS name, CAST(seq + 1 AS INTEGER) AS line, CAST(k + 1 AS INTEGER) AS col, 'Redeclared symbol ''' || bound.name || ''' (first declared at line ' || (fd + 1) || ')' AS message FROM bound WHERE is_decl AND seq > fd",
     "READ_BEFORE_WRITE": _at("first_read", "'Variable ''' || s.name || ''' read before write'", "kind = 'variable' AND n_decl > 0 AND (first_write IS NULL OR first_read <= first_write)"),
 }
-_MODS = "mods AS (SELECT c_custkey AS key, 'm' || (c_custkey * 7 % 50) AS name, 'f' || (c_custkey % 2) || '.v' AS file, c_custkey % 2 AS idx, 'c' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS scope_id FROM customer WHERE c_custkey % 3 <> 0)"
+_MODS = "mods AS (SELECT c_custkey AS key, 'm' || (c_custkey * 7 % 50) AS name, 'f' || (c_custkey % 2) || '.v' AS file, c_custkey % 2 AS idx, 'c' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS scope_id FROM customer)"
 _ASKED = "asked AS (SELECT DISTINCT 'm' || (o_custkey % 60) AS module, 's' || (o_orderkey % 40) AS name FROM orders)"
 
 
@@ -132,12 +132,12 @@ def oracle_sql() -> dict[str, str]:
     out["syntax_all"] = f"WITH {_F}, p AS ({_predicted(_SYNTAX)}) SELECT file, row_number() OVER (PARTITION BY i ORDER BY line, col, {rank}) AS pos, code, line, col FROM p"
     out["symbol_resolution"] = f"WITH {_EV} SELECT seq AS event_id, scope_id, name, CASE WHEN is_decl THEN 'decl' ELSE 'use' END AS ev, bs AS bound_scope FROM bound"
     out["symbol_table"] = f"WITH {_EV} SELECT bs AS scope_id, name, kind, is_implicit, is_port, is_read, is_written, birth, first_decl, first_use, n_decl, n_use FROM s"
-    out["module_duplicate"] = f"WITH {_MODS}, r AS (SELECT *, row_number() OVER w AS n, first_value(file) OVER w AS f1 FROM mods WINDOW w AS (PARTITION BY name ORDER BY idx, key)) SELECT name, file, CAST(key + 1 AS INTEGER) AS line, 'Duplicate module ''' || name || ''' (first defined in ' || f1 || ')' AS message FROM r WHERE n > 1"
-    out["module_undefined"] = f"WITH {_MODS} SELECT 'm' || (o_custkey * 7 % 70) AS name, CAST(o_orderkey + 1 AS INTEGER) AS line, CAST(3 AS INTEGER) AS col, 'Instantiation of undefined module ''m' || (o_custkey * 7 % 70) || '''' AS message FROM orders WHERE NOT EXISTS (SELECT 1 FROM mods WHERE mods.name = 'm' || (o_custkey * 7 % 70))"
-    out["module_registry_counts"] = f"WITH {_MODS} SELECT name, count(*) AS n_definitions FROM mods GROUP BY name"
+    out["module_duplicates"] = f"WITH {_MODS}, r AS (SELECT *, row_number() OVER w AS n, first_value(file) OVER w AS f1 FROM mods WINDOW w AS (PARTITION BY name ORDER BY idx, key)) SELECT name, file, CAST(key + 1 AS INTEGER) AS line, 'Duplicate module ''' || name || ''' (first defined in ' || f1 || ')' AS message FROM r WHERE n > 1"
+    out["module_undefined_refs"] = f"WITH {_MODS} SELECT 'm' || (o_custkey * 7 % 70) AS name, CAST(o_orderkey + 1 AS INTEGER) AS line, CAST(3 AS INTEGER) AS col, 'Instantiation of undefined module ''m' || (o_custkey * 7 % 70) || '''' AS message FROM orders WHERE NOT EXISTS (SELECT 1 FROM mods WHERE mods.name = 'm' || (o_custkey * 7 % 70))"
+    out["module_registry"] = f"WITH {_MODS} SELECT name, count(*) AS n_definitions FROM mods GROUP BY name"
     out["lookup_from_scope"] = f"WITH {_EV} SELECT DISTINCT fact.scope_id, fact.name, CASE WHEN EXISTS (SELECT 1 FROM sym WHERE sym.bs = fact.scope_id AND sym.name = fact.name) THEN fact.scope_id WHEN EXISTS (SELECT 1 FROM sym WHERE sym.bs = 'global' AND sym.name = fact.name) THEN 'global' END AS found_scope FROM fact"
-    out["lookup_qualified"] = f"WITH {_MODS}, {_ASKED}, firsts AS (SELECT * FROM mods QUALIFY row_number() OVER (PARTITION BY name ORDER BY idx, key) = 1) SELECT module, asked.name AS name, CASE WHEN 's' || (key % 40) = asked.name THEN scope_id END AS found_scope FROM asked LEFT JOIN firsts ON firsts.name = module"
-    out["lookup_global"] = f"WITH {_MODS}, {_ASKED}, names AS (SELECT DISTINCT name FROM asked), r AS (SELECT 's' || (key % 40) AS name, scope_id, row_number() OVER (PARTITION BY key % 40 ORDER BY idx, key) AS n FROM mods) SELECT names.name AS name, scope_id AS found_scope FROM names LEFT JOIN r ON r.name = names.name AND n = 1"
+    out["lookup_module_path"] = f"WITH {_MODS}, {_ASKED}, firsts AS (SELECT * FROM mods QUALIFY row_number() OVER (PARTITION BY name ORDER BY idx, key) = 1) SELECT module, asked.name AS name, CASE WHEN 's' || (key % 40) = asked.name THEN scope_id END AS found_scope FROM asked LEFT JOIN firsts ON firsts.name = module"
+    out["lookup_module_name"] = f"WITH {_MODS}, {_ASKED}, names AS (SELECT DISTINCT name FROM asked), r AS (SELECT 's' || (key % 40) AS name, scope_id, row_number() OVER (PARTITION BY key % 40 ORDER BY idx, key) AS n FROM mods) SELECT names.name AS name, scope_id AS found_scope FROM names LEFT JOIN r ON r.name = names.name AND n = 1"
     ids = f"WITH {_F}, ids AS ({_ids()})"
     out["access_mode"] = out["access_mode_inherited"] = f"{ids} SELECT file, line, col, name, read, write FROM ids"
     out["driver_id"] = f"{ids} SELECT file, line, col, name, ({_PROC}) || ':' || file || ':' || ({_PROC_LINE}) || ':3' AS driver_id FROM ids WHERE write"

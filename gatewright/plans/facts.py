@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What the facts read of the node table: columns, and kinds or classes of nodes.
+COLUMNS = ["file_idx", "file", "pre", "ord", "cls", "name", "line", "col", "scope_pre", "proc_kind", "proc_line", "proc_col", "read", "write", "is_port", "has_init", "stmt_pre", "stmt_line", "stmt_col", "nettype_none"]
+KINDS = frozenset({"ModuleDeclaration", "HierarchyInstantiation", "HierarchicalInstance", "Declarator", "IdentifierName", "IdentifierSelectName"})
 #: Scope of everything outside modules.
 GLOBAL = "global"
 

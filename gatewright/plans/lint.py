@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import module_rules, resolution, symbol_rules, syntax_rules
-from ..sources.files import read_files
+from ..sources.files import included, read_files
 from ..sources.nodes import parse_files
 from . import facts
 
+#: What the full lint reads of the node table.
+COLUMNS = sorted({*syntax_rules.COLUMNS, *facts.COLUMNS})
+KINDS = syntax_rules.KINDS | facts.KINDS
 #: Sort key of the result: phase 1 syntax (file, node, rule), 2 symbols (rule, scope, birth, place), 3 modules.
 KEYS = ["phase", "k1", "k2", "k3", "k4", "k5"]
 
@@ -25,7 +28,6 @@ class Facts:
     bound: DataFrame
     symbols: DataFrame
 
-
     def release(self) -> None:
         for kept in (self.symbols, self.bound, self.nodes):
             kept.unpersist()
@@ -53,9 +55,9 @@ def _seq_key(s: str):
     return F.concat_ws(":", *[F.format_string("%010d", F.col(f"{s}.{p}")) for p in ("file_idx", "pre", "sub")])
 
 
-def diagnostics(f: Facts) -> DataFrame:
-    """All diagnostics with their sort keys; sort by KEYS for the reference order."""
-    s = syntax_rules.syntax_diagnostics(f.nodes)
+def diagnostics(f: Facts, extra: tuple = ()) -> DataFrame:
+    """All diagnostics with their sort keys; sort by KEYS for the result's order."""
+    s = syntax_rules.syntax_diagnostics(f.nodes, extra)
     out = _keyed(s, 1, _n("file_idx"), _n("pre"), _n("ord"))
     y = symbol_rules.symbol_diagnostics(f.symbols, f.bound)
     scope = F.when(F.col("scope_id") == facts.GLOBAL, F.lit("")).otherwise(F.col("scope_id"))
@@ -72,13 +74,19 @@ def formatted(diags: DataFrame) -> DataFrame:
     return diags.withColumn("text", F.concat(prefix, F.format_string("%d:%d - [%s] %s", "line", "col", "code", "message")))
 
 
-def lint_nodes(nodes: DataFrame) -> DataFrame:
-    return diagnostics(derive(nodes))
+def lint_nodes(nodes: DataFrame, extra: tuple = ()) -> DataFrame:
+    return diagnostics(derive(nodes), extra)
+
 
+def lint(spark: SparkSession, paths: list, jobs: int = 1, extra: tuple = (), include_dirs: tuple = ()) -> DataFrame:
+    """Diagnostics of files, unsorted; jobs is the number of parse partitions.
 
-def lint(spark: SparkSession, paths: list, jobs: int = 1) -> DataFrame:
-    """Diagnostics of files, unsorted; jobs is the number of parse partitions."""
+    `extra` are further syntax rules (code, message, SQL predicate on a node row), registered behind the built-in ones.
+    """
     if jobs < 1:
         raise ValueError(f"jobs must be >= 1, got {jobs}")
     files = read_files(spark, paths)
-    return lint_nodes(parse_files(files.repartition(jobs) if jobs > 1 else files))
+    files = files.repartition(jobs) if jobs > 1 else files
+    headers = included(spark, files, include_dirs)
+    nodes = parse_files(files, None, None, headers, include_dirs) if extra else parse_files(files, COLUMNS, KINDS, headers, include_dirs)
+    return lint_nodes(nodes, extra)

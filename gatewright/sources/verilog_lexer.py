@@ -1,12 +1,14 @@
 """Lexer for Verilog / SystemVerilog source text.
 
-Comments, white space and compiler directives are trivia.  Conditional compilation
-and object-like macros are resolved; a macro's tokens stand at the place of use.
-Columns count characters from 1; a tab is one column.
+Comments, white space and compiler directives are trivia.  Conditional compilation,
+macros with and without arguments and included files are resolved; the tokens of a macro
+or an included file stand at the place of use.  Lines end at line feeds only; columns
+count characters from 1, and a tab is one column.
 """
 
 from __future__ import annotations
 
+import posixpath
 import re
 from typing import NamedTuple
 
@@ -17,6 +19,8 @@ class Token(NamedTuple):
     line: int
     col: int
     end_col: int  # column after the last character
+    start: int = -1  # characters of the text, -1 if the token is not in it
+    stop: int = -1
 
 
 # Token kinds of keywords and operators, as the public SystemVerilog syntax names them.
@@ -74,15 +78,80 @@ _LEX = re.compile(
 )
 _VALUE = re.compile(r"[ \t]*([0-9a-fA-FxXzZ?_]+)")
 _REST = re.compile(r"(?:\\\n|[^\n])*")
-_DEFINE = re.compile(r"[ \t]+([A-Za-z_]\w*)(\([^)\n]*\))?")
+_DEFINE = re.compile(r"[ \t]+([A-Za-z_]\w*)")
 _WORD = re.compile(r"[ \t]*([A-Za-z_]\w*)")
-MACRO_DEPTH = 64
+_INCLUDE = re.compile(r"""[ \t]*(?:"([^"\n]+)"|<([^>\n]+)>)""")
+_PIECE = re.compile(r"""(?P<string>"(?:\\.|[^"\\\n])*"?)|(?P<paste>``)|(?P<quote>`")|(?P<name>[A-Za-z_][\w$]*)|(?P<other>.)""", re.S)
+_BLOCK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
+#: Uses inside uses; one that is still deeper stays in the stream as a token of its own.
+DEEPEST = 200
 
 
-def lex(text: str, macros: dict[str, str] | None = None, place: tuple[int, int] | None = None, depth: int = 0) -> list[Token]:
-    """Tokens of a text, without the end mark; `place` overrides positions inside a macro."""
+def _arguments(text: str, at: int) -> tuple[list[str], int] | None:
+    """Texts between the commas of a bracketed list that begins at or after `at`, and where it ends."""
+    n = len(text)
+    while at < n and text[at] in " \t\r\n":
+        at += 1
+    if at >= n or text[at] != "(":
+        return None
+    out, depth, lo, at = [], 1, at + 1, at + 1
+    while at < n:
+        c = text[at]
+        if c == '"':
+            at += 1
+            while at < n and text[at] not in '"\n':
+                at += 2 if text[at] == "\\" else 1
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if not depth:
+                return [*out, text[lo:at].strip()], at + 1
+        elif c == "," and depth == 1:
+            out.append(text[lo:at].strip())
+            lo = at + 1
+        at += 1
+    return None
+
+
+class Macro(NamedTuple):
+    body: str
+    params: list[tuple[str, str | None]] | None = None  # names with their defaults; None without an argument list
+
+    def expand(self, args: list[str] | None) -> str:
+        """The body with arguments in place of parameters; missing ones are their defaults or empty."""
+        given = {}
+        for i, (name, default) in enumerate(self.params or ()):
+            value = args[i] if args and i < len(args) else ""
+            given[name] = value or default or ""
+        swap = {"paste": lambda m: "", "quote": lambda m: '"', "name": lambda m: given.get(m[0], m[0])}
+        return "".join(swap.get(m.lastgroup, lambda m: m[0])(m) for m in _PIECE.finditer(self.body))
+
+
+def beside(folder: str, name: str) -> str:
+    """Path of a name in a folder, which may have a scheme."""
+    head = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]+:/(?:/[^/]*)?)?", folder)[0]
+    return head + posixpath.normpath(posixpath.join(folder[len(head) :], name))
+
+
+class Source:
+    """What a text sees besides itself: macros, the files it may include and what is open just now."""
+
+    def __init__(self, files: dict[str, str] | None = None, path: str = "", folders: tuple[str, ...] = ()):
+        self.macros: dict[str, Macro] = {}
+        self.files, self.path, self.folders = files or {}, path, folders
+        self.open: list[str] = []  # macros and files that are being read
+
+    def find(self, name: str, path: str) -> str | None:
+        """The included file: beside the including one, else in the folders in order."""
+        return next((x for f in (posixpath.dirname(path), *self.folders) if (x := beside(f, name)) in self.files), None)
+
+
+def lex(text: str, source: Source | None = None, place: tuple[int, int] | None = None, path: str | None = None) -> list[Token]:
+    """Tokens of a text, without the end mark; `place` overrides positions inside a macro or an included file."""
     out: list[Token] = []
-    macros = {} if macros is None else macros
+    source = Source() if source is None else source
+    macros, path = source.macros, source.path if path is None else path
     line, bol, at, n = 1, 0, 0, len(text)
     active: list[list[bool]] = []  # per open conditional: [live now, some branch taken, outer live]
 
@@ -90,7 +159,16 @@ def lex(text: str, macros: dict[str, str] | None = None, place: tuple[int, int]
         if place:
             out.append(Token(kind, value, *place, place[1] + len(value)))
         else:
-            out.append(Token(kind, value, line, start - bol + 1, start - bol + 1 + len(value)))
+            col = start - bol + 1
+            out.append(Token(kind, value, line, col, col + len(value), start, start + len(value)))
+
+    def read(what: str, inner: str, inner_path: str, start: int):
+        """Tokens of a macro or file at the place of use; one inside itself is empty."""
+        if what in source.open:
+            return
+        source.open.append(what)
+        out.extend(lex(inner, source, place or (line, start - bol + 1), inner_path))
+        source.open.pop()
 
     while at < n:
         m = _LEX.match(text, at)
@@ -117,9 +195,11 @@ def lex(text: str, macros: dict[str, str] | None = None, place: tuple[int, int]
                     active.pop()
             elif name == "define":
                 d = _DEFINE.match(text, at)
-                rest = _REST.match(text, d.end() if d else at)
+                named = _arguments(text, d.end()) if d and text[d.end() : d.end() + 1] == "(" else None
+                rest = _REST.match(text, named[1] if named else d.end() if d else at)
                 if d and live:
-                    macros[d[1]] = "" if d[2] else re.sub(r"//[^\n]*", "", rest[0].replace("\\\n", " ")).strip()
+                    params = [(p.strip(), v.strip() if eq else None) for p, eq, v in (x.partition("=") for x in named[0])] if named else None
+                    macros[d[1]] = Macro(_BLOCK.sub(" ", rest[0].replace("\\\n", " ")).strip(), params)
                 line += text.count("\n", at, rest.end())
                 bol = text.rfind("\n", 0, rest.end()) + 1
                 at = rest.end()
@@ -130,10 +210,25 @@ def lex(text: str, macros: dict[str, str] | None = None, place: tuple[int, int]
                     if live:
                         macros.pop(w[1], None)
             elif name in macros:
-                if live and depth < MACRO_DEPTH:
-                    spot = place or (line, start - bol + 1)
-                    out += lex(macros[name], macros, spot, depth + 1)
-            elif name in ("timescale", "default_nettype", "include", "line", "pragma", "resetall", "celldefine", "endcelldefine", "begin_keywords", "end_keywords", "nounconnected_drive", "unconnected_drive", "undefineall"):
+                got = _arguments(text, at) if macros[name].params is not None else None
+                if live and len(source.open) < DEEPEST:
+                    read(name, macros[name].expand(got and got[0]), path, start)
+                elif live:
+                    emit("MacroUsage", value, start)
+                if got:
+                    breaks = text.count("\n", at, got[1])
+                    if breaks:
+                        line += breaks
+                        bol = text.rfind("\n", 0, got[1]) + 1
+                    at = got[1]
+            elif name == "include":
+                w = _INCLUDE.match(text, at)
+                found = source.find(w[1] or w[2], path) if w and live else None
+                if found and len(source.open) < DEEPEST:
+                    read(f"file {found}", source.files[found], found, start)
+                at = _REST.match(text, at).end()
+                line += text.count("\n", start, at)
+            elif name in ("timescale", "default_nettype", "line", "pragma", "resetall", "celldefine", "endcelldefine", "begin_keywords", "end_keywords", "nounconnected_drive", "unconnected_drive", "undefineall"):
                 at = _REST.match(text, at).end()
                 line += text.count("\n", start, at)
             elif live:

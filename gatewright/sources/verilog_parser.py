@@ -7,7 +7,7 @@ it does not know becomes an `Opaque` node that keeps its tokens; no input fails.
 
 from __future__ import annotations
 
-from .verilog_lexer import KEYWORDS, OPERATORS, Token, lex
+from .verilog_lexer import KEYWORDS, OPERATORS, Source, Token, lex
 
 
 class Node:
@@ -44,8 +44,8 @@ _SPELLING = {v: k for k, v in (KEYWORDS | OPERATORS).items()}
 
 
 class Parser:
-    def __init__(self, text: str):
-        self.toks = lex(text)
+    def __init__(self, text: str, source: Source | None = None):
+        self.toks = lex(text, source)
         lines = text.split("\n")
         self.eof = Token(_EOF, "", len(lines), len(lines[-1]) + 1, len(lines[-1]) + 1)
         self.i = 0
@@ -766,11 +766,11 @@ class Parser:
         return self.expression()
 
 
-def parse(text: str) -> Node:
-    """The syntax tree; a text nested too deeply for the parser becomes one opaque member."""
-    p = Parser(text)
+def parse(text: str, files: dict[str, str] | None = None, path: str = "", folders: tuple[str, ...] = ()) -> Node:
+    """The syntax tree; a text nested too deeply for the parser becomes one opaque member.  `files` are those that may be included."""
+    p = Parser(text, Source(files, path, folders))
     try:
         return p.compilation_unit()
     except RecursionError:
-        p = Parser(text)
+        p = Parser(text, Source(files, path, folders))
         return Node("CompilationUnit", [Node("SyntaxList", [Node("Opaque", [Leaf(t) for t in p.toks])], role="members"), Leaf(p.eof)])

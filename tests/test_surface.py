@@ -45,3 +45,36 @@ def test_watch_lints_arriving_files(spark, tmp_path):
     got = []
     watch(spark, str(src), str(tmp_path / "cp"), lambda d, n: got.extend(d.collect()), once=True).awaitTermination()
     assert [(r.file.rsplit("/", 1)[-1], r.line, r.col, r.code) for r in got] == [("a.v", 2, 3, "NO_INITIAL_BLOCK")]
+
+
+def test_includes_and_user_rules(spark, tmp_path):
+    (tmp_path / "inc").mkdir()
+    (tmp_path / "inc" / "deep.vh").write_text("`define K 1\n")
+    (tmp_path / "near.vh").write_text('`include "deep.vh"\n`define BAD(x) initial x = `K;\n')
+    (tmp_path / "a.v").write_text('`include "near.vh"\nmodule a;\n  reg q;\n  `BAD(q)\n  forever_thing t();\nendmodule\n')
+    paths = [tmp_path / "a.v"]
+    got = {(r.code, r.line, r.col) for r in lint(spark, paths, include_dirs=(str(tmp_path / "inc"),)).collect()}
+    assert ("NO_INITIAL_BLOCK", 4, 3) in got and not any(c == "NO_NAMES" for c, _, _ in got)
+    more = lint(spark, paths, extra=(("NO_NAMES", "No instances", "kind = 'HierarchyInstantiation'"),), include_dirs=(str(tmp_path / "inc"),)).collect()
+    assert {("NO_NAMES", 5, 3), ("NO_INITIAL_BLOCK", 4, 3)} <= {(r.code, r.line, r.col) for r in more}
+
+
+def test_paths_with_a_scheme(spark, tmp_path):
+    (tmp_path / "a.v").write_text("module a; initial x = 1; endmodule\n")
+    (tmp_path / "b.sv").write_text("module b; endmodule\n")
+    found = collect_paths([tmp_path.as_uri()], spark)
+    assert [str(p).rsplit("/", 1)[-1] for p in found] == ["a.v", "b.sv"]
+    assert "NO_INITIAL_BLOCK" in {r.code for r in lint(spark, found).collect()}
+
+
+def test_watch_keeps_files_apart(spark, tmp_path):
+    from gatewright.streaming.watch import watch
+
+    src = tmp_path / "in"
+    src.mkdir()
+    for i in range(40):
+        (src / f"f{i}.v").write_text("module m;\n  always @(posedge c) begin a = 1; " + ("b <= 1; " if i % 2 else "b = 1; ") + "end\nendmodule\n")
+    got = []
+    watch(spark, str(src), str(tmp_path / "cp"), lambda d, n: got.extend(d.collect()), once=True).awaitTermination()
+    mixed = sorted(int(r.file.rsplit("/f", 1)[-1][:-2]) for r in got if r.code == "NO_MIXED_ASSIGNMENT_STYLE")
+    assert mixed == list(range(1, 40, 2))
