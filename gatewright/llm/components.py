@@ -27,9 +27,9 @@ def _small_star(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of `edges` (a, b), as a written table; the component is its smallest node."""
     e = edges.select("a", "b").where("a <> b").distinct()
-    seen = None
+    seen, n = None, edges.count()
     while True:
-        last, e = e, written(_small_star(_large_star(e)).where("a <> b").distinct())
+        last, e = e, written(_small_star(_large_star(e)).where("a <> b").distinct(), n)
         # stars are stable: the order-free digest of the edges repeats
         discard(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -37,6 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = now
     nodes = e.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    out = written(nodes.union(e.select(F.col("a"), F.col("a")).distinct()))
+    out = written(nodes.union(e.select(F.col("a"), F.col("a")).distinct()), n)
     discard(e)
     return out

@@ -279,7 +279,9 @@ def link_components(sets: DataFrame, percent: int = PERCENT, fragments: int = FR
     first = f"slice(keys, 1, cast(greatest(n - {ceil} + 1 - (n - size(keys)), 0) as int))"
     whole = written(sets.select("doc", "n", F.size("keys").cast("bigint").alias("m"), F.explode(F.expr(first)).alias("key")))
     shared = whole.groupBy("key").count().where("count > 1").select("key")
-    prefix = written(whole.join(shared, "key"))
+    size = whole.count()
+    prefix = written(whole.join(shared, "key"), size)
+    size = prefix.count()
     links, tried, found, progress = None, None, None, True
     scratch = [whole, prefix]
     turn, last = 0, False
@@ -297,13 +299,13 @@ def link_components(sets: DataFrame, percent: int = PERCENT, fragments: int = FR
             hub = part.groupBy("key").agg(F.min_by(F.struct("doc", "n", "m", "c"), F.struct(by, "doc")).alias("y"))
             pairs = _paired(part.join(hub, "key").where("y.c <> c").select(F.struct("doc", "n", "m", "c").alias("x"), "y"))
         else:
-            part = written(part.join(sets.select("doc", "parity"), "doc"))
+            part = written(part.join(sets.select("doc", "parity"), "doc"), size)
             pairs = _near_pairs(part, percent)
         pairs = pairs.where(_reach(percent)).select("a", "b", "na", "nb").distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(pairs)
-        fresh = written(_links(pairs, segments, percent))
+        pairs = written(pairs, size)
+        fresh = written(_links(pairs, segments, percent), size)
         scratch += [pairs, fresh, part]
         links = fresh if links is None else links.union(fresh)
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
@@ -349,7 +351,7 @@ def _classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFram
     print_, salted = ["n", "fa", "fb"], nodes.where("n > 0").withColumn("salt", F.expr(f"cast(pmod(xxhash64(doc), {SALTS}) as int)"))
     part = salted.groupBy(*print_, "salt").agg(F.min("doc").alias("low"))
     reps = part.join(part.groupBy(*print_).agg(F.min("low").alias("rep")), print_).select(*print_, "salt", "rep")
-    member = written(salted.join(reps, [*print_, "salt"]).select("doc", "rep"))
+    member = written(salted.join(reps, [*print_, "salt"]).select("doc", "rep"), infos.count())
     sets = shared_sets(docs, k, percent).join(member.where("doc = rep").select("doc").distinct(), "doc", "left_semi")
     # a document may be in `member` once per equal row
     return infos, member, written(sets)
@@ -392,7 +394,7 @@ def shingle_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
 def drop_near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Rows of `docs` (all columns) that are the smallest document of their component; repeated rows of it stay once each."""
     found, tables = _components(docs, k, percent)
-    gone = written(found.where("NOT (doc_id <=> component_id)").select("doc_id").distinct())
+    gone = written(found.where("NOT (doc_id <=> component_id)").select("doc_id").distinct(), tables[1].count())
     discard(*tables)
     return without(docs, gone)
 

@@ -29,8 +29,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
+#: Rows of a narrow table for each file, where their number is known.
+FILE_ROWS = 1 << 14
+
+
+def written(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors.
+
+    `rows` is about the number of rows, or a bound: a small narrow table is written by few tasks, FILE_ROWS each, instead of one
+    nearly empty file for every shuffle partition.
+    """
+    if rows is not None:
+        tasks = -(-rows // FILE_ROWS) or 1
+        if tasks < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(tasks)
     path = f"{shared_folder(df.sparkSession)}/gatewright-{uuid.uuid4().hex}"
     _left[path] = df.sparkSession
     df.write.parquet(path)
