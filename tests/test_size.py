@@ -17,7 +17,7 @@ def test_full_lint_broadcasts_nothing_of_the_nodes(spark, make):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["diagnostics_formatted"])
+@pytest.mark.parametrize("name", ["diagnostics_formatted", "diagnostics_summary"])
 def test_diagnostics_broadcast_nothing(spark, name):
     plan = _plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
