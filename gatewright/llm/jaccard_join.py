@@ -114,7 +114,10 @@ def _response(ids, sizes, tokens, ranks, n: int):
     """(document, size, shingle, count) entries as one blob per document bucket."""
     b = doc_bucket(ids, n)
     order = np.lexsort((tokens, ids, b))
-    b, ids, sizes, tokens, ranks = (x[order] for x in (b, ids, sizes, tokens, ranks))
+    b, ids = b[order], ids[order]  # not all at once: each old array is freed before the next new one
+    sizes, tokens = sizes[order], tokens[order]
+    ranks = ranks[order]
+    del order
     edges = np.flatnonzero(np.diff(b, prepend=-1))
     for lo, hi in zip(edges, [*edges[1:], len(b)]):
         yield 1, int(b[lo]), squeeze(ids[lo:hi], sizes[lo:hi], tokens[lo:hi], ranks[lo:hi])
@@ -176,16 +179,27 @@ def _count_hop(n_docs: int):
             hs.append(h)
             docs.append(ids[at])
             sizes.append(n[at].astype(np.int32))
+        # a bucket is held about twice at most: what is not needed any more goes at once
         h = np.concatenate(hs)
+        del hs
         order = np.argsort(h, kind="stable")
-        h, doc, size = h[order], np.concatenate(docs)[order], np.concatenate(sizes)[order]
+        h = h[order]
+        doc = np.concatenate(docs)
+        del docs
+        doc = doc[order]
+        size = np.concatenate(sizes)
+        del sizes
+        size = size[order]
+        del order
         summary = doc == _SUMMARY
         edges = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
         many = np.diff(np.append(edges, len(h)))
         hot = np.add.reduceat(summary.astype(np.int64), edges) > 0
         rank = np.repeat(np.where(hot, _TOP, _rank(many)), many)
         pick = np.repeat(hot | (many > 1), many) & ~summary
-        out = list(_response(doc[pick], size[pick], h[pick].astype(np.int64), rank[pick], n_docs))
+        found = _response(doc[pick], size[pick], h[pick].view(np.int64), rank[pick], n_docs)
+        del doc, size, h, rank, pick, summary, edges, many, hot
+        out = list(found)
         return pa.table({k: pa.array([x[i] for x in out], t) for i, (k, t) in enumerate(zip(("hop", "b", "blob"), _TYPES))})
 
     return run
@@ -197,24 +211,34 @@ def _doc_hop(percent: int):
     def run(table: pa.Table) -> pa.Table:
         trim()
         parts = [expand(x) for x in table["blob"].to_pylist()]
-        doc, size, token, rank = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        key = (rank << _HIGH) | token
+        # a bucket is held about twice at most, as above
+        doc, size, token, key = (np.concatenate([p.pop(0) for p in parts]) for _ in range(4))
+        key <<= _HIGH
+        key |= token
+        del token
         order = np.lexsort((key, doc))
-        doc, size, key = doc[order], size[order], key[order]
+        doc = doc[order]
+        size = size[order]
+        key = key[order]
+        del order
         new = np.ones(len(doc), bool)  # a document sent twice (equal rows in two tasks) counts once
         new[1:] = (doc[1:] != doc[:-1]) | (key[1:] != key[:-1])
-        doc, size, key = doc[new], size[new], key[new]
+        doc = doc[new]
+        size = size[new]
+        key = key[new]
         edges = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
         m = np.diff(np.append(edges, len(doc)))
         n = np.maximum.reduceat(size, edges) if len(doc) else size
         ok = 100 * m >= percent * n
-        keep = np.repeat(ok, m)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(m[ok])).astype(np.int32)), pa.array(key[keep]))
-        place = (mix(key[keep].astype(U64)) >> U64(64 - 6)).astype(U64), mix(key[keep].astype(U64) + U64(1)) % U64(PARITY)
+        doc = doc[edges]
+        key = key[np.repeat(ok, m)]
+        del size
+        lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(m[ok])).astype(np.int32)), pa.array(key))
         parity = np.zeros((int(ok.sum()), PARITY), U64)
-        np.bitwise_xor.at(parity, (np.repeat(np.arange(int(ok.sum())), m[ok]), place[1].astype(np.int64)), U64(1) << place[0])
+        bit = U64(1) << (mix(key.view(U64)) >> U64(64 - 6))
+        np.bitwise_xor.at(parity, (np.repeat(np.arange(int(ok.sum())), m[ok]), (mix(key.view(U64) + U64(1)) % U64(PARITY)).view(np.int64)), bit)
         bits = pa.ListArray.from_arrays(pa.array(np.arange(len(parity) + 1, dtype=np.int32) * PARITY), pa.array(parity.reshape(-1).view(np.int64)))
-        return pa.table({"doc": pa.array(doc[edges][ok]), "n": pa.array(n[ok].astype(np.int64)), "keys": lists, "parity": bits})
+        return pa.table({"doc": pa.array(doc[ok]), "n": pa.array(n[ok].astype(np.int64)), "keys": lists, "parity": bits})
 
     return run
 

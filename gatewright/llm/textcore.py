@@ -149,6 +149,18 @@ def second_hashes(words: np.ndarray, at: np.ndarray, k: int, bits: int) -> np.nd
     return (mix((sums[at + k] - sums[at]) * down[at]) >> U64(64 - bits)).astype(np.uint32)
 
 
+def _unmap_large() -> None:
+    """Blocks of 1 MB or more go back to the system when they are freed.  By itself glibc raises that bound up to 32 MB as large
+    blocks are freed, and an idle Python worker then keeps what its last task needed."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+_unmap_large()
+
+
 def trim() -> None:
     """Give freed memory back to the system: Python workers are reused for many tasks and would keep it."""
     pa.default_memory_pool().release_unused()

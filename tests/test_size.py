@@ -21,3 +21,40 @@ def test_full_lint_broadcasts_nothing_of_the_nodes(spark, make):
 def test_diagnostics_broadcast_nothing(spark, name):
     plan = _plan(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+#: Run in a process of its own, as a peak of memory is never forgotten: MB over the start at the peak, and afterwards.
+_HOPS = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from gatewright.llm import jaccard_join as j
+from gatewright.llm.exchange import bucket_blobs, listing, squeeze
+rng = np.random.default_rng(1)
+now = lambda: int(open("/proc/self/statm").read().split()[1]) * resource.getpagesize() >> 20
+if sys.argv[1] == "count":
+    n, run, blobs = 4 << 20, j._count_hop(4), []
+    for part in np.split(rng.permutation(np.repeat(np.arange(n // 2, dtype=np.uint64) << np.uint64(30), 2)), 16):
+        ids = np.arange(1000)
+        blobs += [x for _, x in bucket_blobs(np.sort(part), rng.integers(0, 1000, len(part)), 1, listing(ids, ids), 56)]
+    hop = 0
+else:
+    n, run, hop = 4 << 20, j._doc_hop(75), 1
+    blobs = [squeeze(np.repeat(np.arange(k * 262, k * 262 + 262), 1000), np.full(262000, 1000), rng.integers(0, 1 << 56, 262000), np.full(262000, 4)) for k in range(16)]
+table = pa.table({"hop": pa.array([hop] * len(blobs), pa.int32()), "b": pa.array([0] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
+del blobs
+j.trim()
+start = now()
+out = run(table)
+size = out.nbytes >> 20
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss >> 10) - start, now() - start - size, n * 8 >> 20)
+"""
+
+
+@pytest.mark.parametrize("hop", ["count", "doc"])
+def test_a_bucket_is_held_few_times(hop):
+    import subprocess
+    import sys
+
+    peak, after, column = map(int, subprocess.run([sys.executable, "-c", _HOPS, hop], capture_output=True, text=True, check=True).stdout.split())
+    print(peak, after, column)
+    assert peak < 10 * column and after < 2 * column
