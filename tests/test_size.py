@@ -3,7 +3,7 @@
 import pytest
 from gatewright.operators import resolution
 from gatewright.plans import bridges, catalog, facts
-from gatewright.plans.lint import COLUMNS, KINDS, lint_nodes
+from gatewright.plans.lint import COLUMNS, KINDS, derive, lint_nodes
 
 
 def _plan(df) -> str:
@@ -23,6 +23,25 @@ def test_diagnostics_broadcast_nothing(spark, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_facts_are_kept_outside_the_heap(spark):
+    f = derive(bridges.text_nodes(spark, "/root/testdata/sf0.001", COLUMNS, KINDS))
+    levels = [x.storageLevel for x in (f.nodes, f.bound, f.symbols)]
+    f.release()
+    assert all(x.useDisk and not x.useMemory for x in levels)
+
+
+def test_parse_tasks_grow_in_number_and_not_in_size(spark, tmp_path):
+    """Every file is parsed by a task of bounded size, and the keys are dealt out, not the texts."""
+    n = 40_000
+    spark.range(n).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    nodes = bridges.text_nodes(spark, str(tmp_path), ["file_idx", "kind"], frozenset({"FinalBlock"}))
+    assert nodes.rdd.getNumPartitions() >= 8
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("endmodule") < plan.index("Repartition")
+    small = bridges.text_files(spark, str(tmp_path), 8)
+    assert small.count() == small.select("path").distinct().count() == n
+
+
 #: Run in a process of its own, as a peak of memory is never forgotten: MB over the start at the peak, and afterwards.
 _HOPS = """
 import resource, sys
