@@ -47,10 +47,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
+from .components import components, merged
 from .exchange import bucket_blobs, bucket_count, doc_bucket, expand, listing, open_blob, squeeze
 from .prune import without
-from .storage import discard, written
+from .storage import discard, release, written
 from .textcore import NULL_ID, U64, chunks, hash_words, mix, trim, window_hashes
 
 SHINGLE, PERCENT = 5, 75
@@ -306,7 +306,7 @@ def link_components(sets: DataFrame, percent: int = PERCENT, fragments: int = FR
     size = whole.count()
     prefix = written(whole.join(shared, "key"), size)
     size = prefix.count()
-    links, tried, found, progress = None, None, None, True
+    tried, found, progress = None, None, True
     scratch = [whole, prefix]
     turn, last = 0, False
     while not last:
@@ -330,13 +330,15 @@ def link_components(sets: DataFrame, percent: int = PERCENT, fragments: int = FR
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = written(pairs, size)
         fresh = written(_links(pairs, segments, percent), size)
-        scratch += [pairs, fresh, part]
-        links = fresh if links is None else links.union(fresh)
+        scratch += [pairs, part]
         tried = pairs.select("a", "b") if tried is None else tried.union(pairs.select("a", "b"))
-        progress = bool(fresh.limit(1).count())
+        linked = fresh.count()
+        progress = linked > 0
         if found is None or progress:
-            discard(found)
-            found = components(links)
+            before, found = found, components(fresh, linked) if found is None else merged(found, fresh, linked)
+            discard(before)
+        discard(fresh)
+        release(sets.sparkSession)
         turn += 1
     discard(*scratch)
     return found

@@ -7,6 +7,7 @@ left when the driver's Python ends is deleted then.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -65,6 +66,13 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(path, _left.pop(path))
 
 
+def release(spark: SparkSession) -> None:
+    """Frees what finished queries leave behind.  Spark deletes their shuffle files and broadcasts only when the driver's JVM has
+    collected the objects that stand for them; between the rounds of a loop that would come late, with a larger heap by then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _clear() -> None:
     for path, spark in list(_left.items()):
